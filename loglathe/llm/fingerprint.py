@@ -102,9 +102,8 @@ def with_next(docs: DataFrame, id_col: str, cols: tuple[str, ...]) -> DataFrame:
         F.coalesce(F.lead("_b").over(upward), F.min("_b").over(upward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"),
     )
     rows = keyed.join(F.broadcast(heads), "_k", "left").withColumn("_h", F.xxhash64(*cols))
-    places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_b"), F.lit(False)))).otherwise(
-        F.array(F.struct(F.col("_b"), F.lit(False)), F.struct(F.col("_to"), F.lit(True)))
-    ).cast("array<struct<at:int,guard:boolean>>")
+    place = lambda at, guard: F.struct(F.col(at).cast("int").alias("at"), F.lit(guard).alias("guard"))
+    places = F.when(F.col("_to").isNull(), F.array(place("_b", False))).otherwise(F.array(place("_b", False), place("_to", True)))
     rows = rows.withColumn("_p", F.explode(places)).select("*", "_p.at", "_p.guard").drop("_p", "_b", "_to")
     order = Window.partitionBy("at").orderBy("guard", F.col("_k").desc(), F.col("_h").desc())
     for c in cols:
