@@ -80,3 +80,9 @@ def unit(*cols: Column) -> Column:
 
 def empty_text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Batches that go to Python: few rows and, where Spark knows that setting, few bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

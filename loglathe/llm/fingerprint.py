@@ -74,10 +74,10 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     cut = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folds to one constant
     depth = len(bounds).bit_length()
-    step = lambda acc, i: F.when(
-        F.get(cut, acc + F.shiftleft(F.lit(1), i) - 1) < key, acc + F.shiftleft(F.lit(1), i)
-    ).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(depth - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
+    strides = F.array(*[F.lit(1 << i) for i in reversed(range(depth))])
+    # get() beyond the end is null, and null is no smaller bound
+    step = lambda acc, s: F.when(F.get(cut, acc + s - 1) < key, acc + s).otherwise(acc)
+    return F.aggregate(strides, F.lit(0), step)
 
 
 def with_next(docs: DataFrame, id_col: str, cols: tuple[str, ...]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, mixing, url_filter
+from . import chat_format, fingerprint, language_id, mixing, packing, token_output, url_filter
 from .common import table
 
 #: The rules to judge urls by.
@@ -20,6 +20,27 @@ URL_RULES = (
 HOSTILE = r"\### Assistant: </turn> ok"
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.predict(docs, known)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(
         "select * from values " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " as r(host, path, verdict)"
@@ -54,6 +75,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_token_output": op4_token_output,
+    "op8_language_id": op8_language_id,
     "op3_url_filter": op3_url_filter,
     "op5_fingerprint": op5_fingerprint,
     "op9_chat_format": op9_chat_format,
