@@ -2,20 +2,20 @@
 
 A text is compressed once a language, with that language's dictionary, in chunks of ``CHUNK`` bytes that
 each start afresh (else a long text would teach the compressor its own language).  The language of the
-fewest bytes wins.  ``score`` is the softmax of the bits saved, as if languages were equally likely; a text
-whose smallest and second smallest sizes differ by less than ``margin`` bytes in a thousand is *rejected*.
+fewest bytes wins, among equals the one with more training rows.  Texts and dictionaries are in lower
+case with every run of other characters than letters as one space.  ``score`` is the softmax of the bits
+saved.  A text is *rejected* if it has no letter, or if it has ``LEAST_BYTES`` and its second smallest size
+is within ``margin`` of the smallest; shorter texts give no margin that would mean anything.
 
 Dictionaries are fitted on a bounded sample: up to ``SAMPLE_DOCS`` documents a language, the smallest by the
 hash of their id, of which up to ``SAMPLE_BYTES`` bytes each enter it.  Every text is then read whole.
 
-Defined results: a null text, or one without a letter, is ``und``, score 0, rejected; ties go to the first
-language in code point order; without any training row every text is ``und``; equal rows get equal
+Defined results: a null text, or one without a letter, is ``und``, score 0, rejected; without any training row every text is ``und``; equal rows get equal
 results; a null id never enters the sample.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +25,14 @@ from pyspark.sql import functions as F
 from .common import bound_arrow, empty_text
 
 SAMPLE_DOCS, SAMPLE_BYTES = 160, 1000
-CHUNK, LEVEL, MARGIN = 4096, 1, 1.0
+CHUNK, LEVEL, MIN_MATCH = 4096, 3, 3
+MARGIN, LEAST_BYTES = 0.002, 256
+#: Of a saved bit, what counts in the score: the bits of one match are not independent.
+DAMPING = 0.1
+
+
+def letters(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
 
 
 def held_out(id_col: Column) -> Column:
@@ -45,10 +52,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
         top = min(1.0, 1.3 * SAMPLE_DOCS / r["n"] + 20 / r["n"])
         wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(min((1 << 63) - 1, int(top * (1 << 63))))))
     got: dict[str, list[tuple[int, bytes]]] = {}
-    for r in keyed.where(wanted).select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("t")).collect():
+    for r in keyed.where(wanted).select("lang", "h", letters(F.substring("text", 1, SAMPLE_BYTES)).alias("t")).collect():
         got.setdefault(r["lang"], []).append((r["h"], r["t"].encode()[:SAMPLE_BYTES]))
-    # what lies last in a dictionary is nearest: the order does not matter otherwise
-    return {k: b"\n".join(t for _, t in sorted(v)[:SAMPLE_DOCS]) for k, v in sorted(got.items())}
+    rows_of = {r["lang"]: r["n"] for r in counts}
+    first = sorted(got, key=lambda k: (-rows_of[k], k))  # the order that breaks ties
+    return {k: b"\n".join(t for _, t in sorted(got[k])[:SAMPLE_DOCS]) for k in first}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str, ...] = ("doc_id",), text: str = "text", margin: float = MARGIN) -> DataFrame:
@@ -58,7 +66,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str, .
     names = list(dictionaries)
     shared = spark.sparkContext.broadcast(dictionaries)  # at most SAMPLE_DOCS * SAMPLE_BYTES bytes a language
     body = empty_text(text)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.when(body.rlike(r"\p{L}"), body).otherwise("").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], letters(body).alias("_text"))
     schema = rows.select(*[F.col(f"`{c}`") for c in carry]).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +75,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str, .
         tools = [
             zstd.ZstdCompressor(
                 dict_data=zstd.ZstdCompressionDict(shared.value[n], dict_type=zstd.DICT_TYPE_RAWCONTENT),
-                compression_params=zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_dict_id=0),
+                compression_params=zstd.ZstdCompressionParameters.from_level(
+                    LEVEL, min_match=MIN_MATCH, write_content_size=0, write_dict_id=0
+                ),
             ).compress
             for n in names
         ]
@@ -81,11 +91,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str, .
                 sizes = [sum(len(tool(c)) for c in chunks) for tool in tools]
                 least = min(sizes)
                 best = sizes.index(least)
-                second = min((s for i, s in enumerate(sizes) if i != best), default=least + 1 + len(raw))
+                second = min((s for i, s in enumerate(sizes) if i != best), default=2 * least)
                 lang.append(names[best])
-                # bits saved count a tenth: matches are not independent
-                score.append(1 / sum(math.exp(max(-700.0, (least - s) * 0.8 * math.log(2))) for s in sizes))
-                rejected.append(1000 * (second - least) < margin * len(raw))
+                score.append(1 / sum(2.0 ** max(-1000, 8 * DAMPING * (least - s)) for s in sizes))
+                rejected.append(len(raw) >= LEAST_BYTES and second - least < margin * least)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carry), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected)],
                 names=[*carry, "lang_pred", "score", "rejected"],
