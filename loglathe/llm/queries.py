@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, language_id, mixing, packing, token_output, url_filter
+from . import chat_format, fingerprint, html_text, language_id, mixing, packing, token_output, url_filter
 from .common import table
 
 #: The rules to judge urls by.
@@ -30,6 +30,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
@@ -76,6 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_html_text": op2_html_text,
     "op4_token_output": op4_token_output,
     "op8_language_id": op8_language_id,
     "op3_url_filter": op3_url_filter,
