@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, html_text, language_id, mixing, packing, token_output, url_filter
+from . import chat_format, embedding_dedup, fingerprint, html_text, language_id, mixing, packing, token_output, url_filter
 from .common import table
 
 #: The rules to judge urls by.
@@ -39,6 +39,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -83,6 +87,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
     "op4_token_output": op4_token_output,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_language_id": op8_language_id,
     "op3_url_filter": op3_url_filter,
     "op5_fingerprint": op5_fingerprint,
@@ -91,6 +96,19 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_embedding_dedup": """
+with recursive v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings
+    where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.id as a, b.id as b from v a join v b on a.id <> b.id and len(a.e) = len(b.e)
+    and list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, least(a, min(b)) as component_id from r group by a),
+n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id,
+    vec_id = coalesce(component_id, vec_id) as kept
+from embeddings left join c on c.a = vec_id left join n on n.a = vec_id
+""",
     "op3_url_filter": """
 with r(rh, rp, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
     ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
