@@ -55,9 +55,9 @@ def tokenized_pieces(docs: DataFrame, carry: tuple[str, ...], tokenizer: str, sp
 
         enc = encoder(tokenizer, spaces)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("_text")
             for first, last in runs(texts):
-                ids, lens = enc.encode(texts[first:last])
+                ids, lens = enc.encode(texts.slice(first, last - first))
                 out: list[tuple[int, int, int, int, int]] = []
                 at = 0
                 for i, n in enumerate(lens.tolist()):

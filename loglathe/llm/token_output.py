@@ -46,9 +46,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, spa
         with store.open_output_stream(own) as out:
             writer = Writer(out)
             for batch in batches:
-                texts, ids = batch.column("t").to_pylist(), batch.column("id").to_pylist()
+                texts, ids = batch.column("t"), batch.column("id").to_pylist()
                 for first, last in runs(texts):
-                    flat, lens = enc.encode(texts[first:last])
+                    flat, lens = enc.encode(texts.slice(first, last - first))
                     at = 0
                     for doc, n in zip(ids[first:last], lens.tolist(), strict=True):
                         writer.add(doc, np.append(flat[at : at + n], np.uint32(end_id)))

@@ -1,103 +1,168 @@
 """Whole-text encoding with the tokenizers library, a space-separated word at a time.
 
 Neither of the vocabularies' pre-tokenizers lets a token cross the border before a space that follows a
-non-space and precedes a non-space, so a text is the concatenation of its words (each with the space
-before it, where the vocabulary keeps spaces).  Words repeat, so each distinct word is encoded once and
-kept in a bounded cache.  A text with a run of spaces is encoded as a whole.
+non-space and precedes a non-space, nor the border between letters and the punctuation behind them.  So a
+text is the concatenation of its words (each with the space before it, where the vocabulary keeps
+spaces), and a word of letters and punctuation that of its two *atoms*.  Atoms and words repeat, so each
+distinct atom is encoded once, and words and atoms are kept in bounded caches.  A text with other white
+space than single spaces and line feeds is encoded as a whole where white space counts.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Most words kept (about 170 bytes each); beyond it only words met more than once stay.
 CACHE_WORDS = 1_000_000
-#: Code points encoded together.
+#: Bytes of text encoded together.
 BATCH_CHARS = 4_000_000
 
 
-class Encoder:
-    def __init__(self, path: str, spaces: bool):
-        """``spaces``: a space before a word belongs to its tokens (byte-level vocabularies)."""
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+#: RE2: a run of spaces, or white space (as Unicode has it) that is neither a space nor a line feed.
+_ODD = "  |[\\t\\v\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+# signs of ASCII only: a combining mark would compose with the letter before it
+_LETTERS_THEN_SIGNS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)\Z")
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.spaces = spaces
-        self._reset()
 
-    def _reset(self) -> None:
+class _Table:
+    """Strings by number, and the ids of each, end to end."""
+
+    def __init__(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
         self.at = np.zeros(1, np.int64)
         self.uses = np.zeros(0, np.int32)
 
-    def _shrink(self) -> None:
-        words = [w for w, i in self.index.items() if self.uses[i] > 1][: CACHE_WORDS // 2]
-        rows = np.array([self.index[w] for w in words], np.int64)
-        starts, lens = self.at[rows], self.at[rows + 1] - self.at[rows]
-        ends = np.cumsum(lens)
-        self.ids = self.ids[np.repeat(starts - (ends - lens), lens) + np.arange(int(lens.sum()))]
-        self.at = np.concatenate([np.zeros(1, np.int64), ends])
-        self.uses = np.ones(len(words), np.int32)
-        self.index = dict(zip(words, range(len(words))))
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        lists = [x.ids for x in found]
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum()))
+    def add(self, names: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         base = len(self.index)
-        self.index.update(zip(words, range(base, base + len(words))))
+        self.index.update(zip(names, range(base, base + len(names)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
-        self.ids = np.concatenate([self.ids, flat])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int32)])
-
-    def _words(self, text: str) -> list[str]:
-        if "  " in text:
-            return [text]
-        words = text.split(" ")
-        if self.spaces:
-            # a space at the end stands alone: its word is the empty one
-            words[1:] = [" " + w for w in words[1:]]
-        return words
+        self.uses = np.concatenate([self.uses, np.zeros(len(names), np.int32)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
-        split = [self._words(t) for t in texts]
-        new = set().union(*split) - self.index.keys()
-        if len(self.index) + len(new) > CACHE_WORDS:
-            self._shrink()
-            new = set().union(*split) - self.index.keys()
-        if new:
-            self._learn(sorted(new))
-        get = self.index.__getitem__
-        rows = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        self.uses += np.bincount(rows, minlength=len(self.uses)).astype(np.int32)
-        per = np.fromiter(map(len, split), np.int64, len(split))
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = self.at[rows]
         lens = self.at[rows + 1] - starts
-        total = int(lens.sum())
         ends = np.cumsum(lens)
-        where = np.repeat(starts - (ends - lens), lens) + np.arange(total)
-        word_of = np.repeat(np.arange(len(texts)), per)
-        return self.ids[where], np.bincount(word_of, lens, len(texts)).astype(np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(starts - (ends - lens), lens) + np.arange(total)], lens
+
+    def shrink(self, most: int) -> None:
+        """Keeps only what was used more than once, and no more than ``most``."""
+        names = [w for w, i in self.index.items() if self.uses[i] > 1][:most]
+        ids, lens = self.take(np.array([self.index[w] for w in names], np.int64))
+        self.__init__()
+        self.add(names, ids, lens)
 
 
-def batches(texts: list[str]):
+class Encoder:
+    def __init__(self, path: str, spaces: bool):
+        """``spaces``: a space before a word belongs to its tokens (byte-level vocabularies); else case and
+        white space do not count."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.spaces = spaces
+        self.words, self.atoms = _Table(), _Table()
+
+    def _atoms(self, word: str) -> list[str]:
+        if "\n" in word:
+            parts = word.split("\n")
+            if self.spaces and "" not in parts and parts[0] != " ":
+                return [a for k, p in enumerate(parts) for a in (["\n"] if k else []) + self._atoms(p)]
+            return [word]
+        m = _LETTERS_THEN_SIGNS.match(word)
+        if m is None:
+            return [word]
+        core = m[1] if self.spaces or "\u03a3" in word else m[1].lower()  # sigma's lower case depends on its place
+        return [core, m[2]] if m[2] else [core]
+
+    def _learn(self, words: list[str]) -> None:
+        split = [self._atoms(w) for w in words]
+        fresh = set().union(*split) - self.atoms.index.keys()
+        if len(self.atoms.index) + len(fresh) > CACHE_WORDS // 2:
+            self.atoms.shrink(CACHE_WORDS // 4)
+            fresh = set().union(*split) - self.atoms.index.keys()
+        if fresh:
+            names = sorted(fresh)
+            lists = [x.ids for x in self.tok.encode_batch_fast(names, add_special_tokens=False)]
+            lens = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.atoms.add(names, np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens)
+        rows = np.fromiter(map(self.atoms.index.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        self.atoms.uses += np.bincount(rows, minlength=len(self.atoms.uses)).astype(np.int32)
+        ids, lens = self.atoms.take(rows)
+        word_of = np.repeat(np.arange(len(words)), np.fromiter(map(len, split), np.int64, len(split)))
+        self.words.add(words, ids, np.bincount(word_of, lens, len(words)).astype(np.int64))
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Numbers of words (distinct ones) in the word table, after learning what it lacks."""
+        index = self.words.index
+        new = [w for w in words if w not in index]
+        if len(index) + len(new) > CACHE_WORDS:
+            self.words.shrink(CACHE_WORDS // 2)
+            index = self.words.index
+            new = [w for w in words if w not in index]
+        if new:
+            self._learn(new)
+        rows = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        self.words.uses[rows] += 1
+        return rows
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.spaces else np.zeros(len(texts), bool)
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        if self.spaces:
+            lists = pc.split_pattern(plain, " ")
+        else:
+            lists = pc.ascii_split_whitespace(plain)
+            # white space at the ends leaves empty words, which have no ids
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        per = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = coded.dictionary.to_pylist()
+        if self.spaces:
+            first = (np.cumsum(per) - per)[per > 0]
+            heads, where = np.unique(codes[first], return_inverse=True)
+            both = [" " + w for w in distinct] + [distinct[k] for k in heads.tolist()]
+            numbers = self._rows(both)
+            rows = numbers[codes]
+            rows[first] = numbers[len(distinct) + where]
+        else:
+            rows = self._rows(distinct)[codes]
+        ids, lens = self.words.take(rows)
+        total = np.bincount(np.repeat(np.arange(len(per)), per), lens, len(per)).astype(np.int64)
+        if not odd.any():
+            return ids, total
+        whole = [x.ids for x in self.tok.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        own = np.zeros(len(texts), np.int64)
+        own[~odd], own[odd] = total, np.fromiter(map(len, whole), np.int64, len(whole))
+        out = np.empty(int(own.sum()), np.uint32)
+        is_odd = np.repeat(odd, own)
+        out[~is_odd] = ids
+        out[is_odd] = np.fromiter(chain.from_iterable(whole), np.uint32, int(is_odd.sum()))
+        return out, own
+
+
+def batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(first, last) index pairs of runs of at most about BATCH_CHARS."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_CHARS:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(sizes):
+        base = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, base + BATCH_CHARS, "right")))
+        yield first, last
+        first = last
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
