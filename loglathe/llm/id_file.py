@@ -32,7 +32,7 @@ TOGETHER = 256
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bit lengths."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1]
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -48,14 +48,14 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     if n % BLOCK:  # padding must not lower the minimum of the last block: it repeats a value of it
         low[-1] = grid[-1].min()
     rest = grid - low[:, None]
-    bits = _bits(rest)
+    bits = _bits(rest).astype(np.uint8)
     counts = np.full(rows, BLOCK)
     counts[-1] = n - (rows - 1) * BLOCK
     ordered = np.sort(bits, 1)
     widths = np.zeros(rows, np.int64)
     cost = np.full(rows, np.iinfo(np.int64).max)
     for p in PERCENTILES:
-        w = ordered[:, max(0, -(-BLOCK * p // 100) - 1)]
+        w = ordered[:, -(-BLOCK * p // 100) - 1].astype(np.int64)
         c = -(-BLOCK * w // 8) + 6 * (bits > w[:, None]).sum(1)
         widths, cost = np.where(c < cost, w, widths), np.minimum(c, cost)
     over = bits > widths[:, None]

@@ -10,6 +10,7 @@ space than single spaces and line feeds is encoded as a whole where white space
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -106,19 +107,29 @@ class Encoder:
     def _rows(self, words: list[str]) -> np.ndarray:
         """Numbers of words (distinct ones) in the word table, after learning what it lacks."""
         index = self.words.index
-        new = [w for w in words if w not in index]
-        if len(index) + len(new) > CACHE_WORDS:
-            self.words.shrink(CACHE_WORDS // 2)
-            index = self.words.index
-            new = [w for w in words if w not in index]
-        if new:
+        found = list(map(index.get, words))
+        if None in found:
+            new = [w for w, k in zip(words, found, strict=True) if k is None]
+            if len(index) + len(new) > CACHE_WORDS:
+                self.words.shrink(CACHE_WORDS // 2)
+                index = self.words.index
+                found = list(map(index.get, words))
+                new = [w for w, k in zip(words, found, strict=True) if k is None]
             self._learn(new)
-        rows = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            found = list(map(index.__getitem__, words))
+        rows = np.array(found, np.int64)
         self.words.uses[rows] += 1
         return rows
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
+        gc.disable()  # many short-lived lists, no cycles: collections would walk them over and over
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.spaces else np.zeros(len(texts), bool)
         plain = texts.filter(pa.array(~odd)) if odd.any() else texts
