@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, fingerprint, html_text, language_id, mixing, packing, token_output, url_filter
+from . import chat_format, embedding_dedup, fingerprint, html_text, language_id, mixing, ngram_join, packing, token_output, url_filter
 from .common import table
 
 #: The rules to judge urls by.
@@ -43,6 +43,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op4_token_output": op4_token_output,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_language_id": op8_language_id,
     "op3_url_filter": op3_url_filter,
     "op5_fingerprint": op5_fingerprint,
@@ -118,6 +124,19 @@ u as (select row_number() over () as n, page_id,
 f as (select n, rh || rp as rule, v, row_number() over (partition by n order by length(rh || rp) desc) as k
     from u, r where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
 select page_id, host, path, rule, coalesce(v, 'allow') as verdict from u left join (select * from f where k = 1) using (n)
+""",
+    "op7_ngram_join": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as materialized (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 80 * (x.n + y.n - o)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, least(a, min(b)) as component_id from r group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id
+from documents left join n using (doc_id) left join c on c.a = doc_id
 """,
     "op9_chat_format": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
