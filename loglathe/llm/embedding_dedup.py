@@ -36,8 +36,8 @@ from .common import Kept, bound_arrow
 from .components import components
 
 BLOCKS, TILE = 4, 8192
-#: Rows of a tile that meet the others at a time; slack of single-precision distances; pairs checked at a time.
-STRIP, SLACK, PAIRS = 256, 1e-4, 50_000
+#: Rows and columns that meet at a time; slack of single-precision distances; pairs that are gathered one by one.
+STRIP, COLUMNS, SLACK, PAIRS = 256, 4096, 1e-4, 20_000
 #: Lengths up to which principal directions are computed; longer vectors keep their axes.
 PRINCIPAL = 2048
 
@@ -85,69 +85,73 @@ class Space:
         return np.concatenate(rows), cell[:, 0] * (1 << 21) + cell[:, 1], np.concatenate(own)
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Smallest reachable index, given links i - j and earlier labels."""
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
+def _labels(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels after i - j are linked: rows of one label keep one, the smaller of the two that meet."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        lower = np.arange(len(label))
+        np.minimum.at(lower, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            deeper = lower[lower]
+            if (deeper == lower).all():
+                break
+            lower = deeper
+        label = lower[label]
 
 
-def link_tile(x: np.ndarray, z: np.ndarray, home: np.ndarray, part: np.ndarray, weight: np.ndarray, space: Space, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links found first in subspace b: (number of linked vectors, smallest reachable row) of each row.
+def link_tile(x: np.ndarray, z: np.ndarray, n_home: int, part: np.ndarray, weight: np.ndarray, label: np.ndarray, space: Space, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links found first in subspace b: (number of linked vectors, smallest reachable label) of each row.
 
-    ``part`` is 0 or 1: in a tile of two parts only pairs between them count.
+    The first ``n_home`` rows are at home, the others copies.  ``part`` is 0 or 1: in a tile of two parts only
+    pairs between them count.  ``label`` is a permutation of the rows' numbers.
     """
     n = len(x)
-    links, label = np.zeros(n, np.int64), np.arange(n)
+    links = np.zeros(n, np.int64)
     sub = z[:, space.parts[b]]
-    small = sub.astype(np.float32)
-    square = (small * small).sum(1)
+    square, ones = (sub * sub).sum(1, keepdims=True), np.ones((n, 1))
+    # the product of these is the squared distance less the budget: one matrix product finds candidates
+    left = np.hstack([-2 * sub, square - space.budget[b], ones]).astype(np.float32)
+    right = np.ascontiguousarray(np.hstack([sub, ones, square]).astype(np.float32).T)
+    squares = [(z[:, p] * z[:, p]).sum(1) for p in space.parts[: b + 1]]
     two = part.any() and not part.all()
-    for at in range(0, n, STRIP):
-        rows = np.arange(at, min(n, at + STRIP))
-        near = square[rows][:, None] + square[None, at:] - 2 * (small[rows] @ small[at:].T) <= space.budget[b] + SLACK
-        i, j = np.nonzero(near)
-        i, j = i + at, j + at
-        keep = (i < j) & (home[i] | home[j])
-        if two:
-            keep &= part[i] != part[j]
-        i, j = i[keep], j[keep]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(i) > 4 * PAIRS:  # dense: products of whole strips are cheaper than gathering pairs
-            cos = x[rows] @ x[at:].T
-            good = cos[i - at, j - at] >= threshold
-            i, j = i[good], j[good]
-            dist = []
-            for c in range(b + 1):
-                q = z[:, space.parts[c]]
-                s = (q * q).sum(1)
-                dist.append((s[rows][:, None] + s[None, at:] - 2 * (q[rows] @ q[at:].T))[i - at, j - at])
-            first = dist[b] <= space.budget[b]
-            for c in range(b):
-                first &= dist[c] > space.budget[c]
-            found.append((i[first], j[first]))
-        else:
-            for s in range(0, len(i), PAIRS):
-                a, c = i[s : s + PAIRS], j[s : s + PAIRS]
-                good = (x[a] * x[c]).sum(1) >= threshold
-                a, c = a[good], c[good]
-                diff = (z[a] - z[c]) ** 2
+    buffer = np.empty((STRIP, COLUMNS), np.float32)
+    for at in range(0, n_home, STRIP):
+        end = min(n_home, at + STRIP)
+        for col in range(at, n, COLUMNS):
+            stop = min(n, col + COLUMNS)
+            if two and (part[at:end].min() == part[at:end].max() == part[col:stop].min() == part[col:stop].max()):
+                continue
+            near = np.matmul(left[at:end], right[:, col:stop], out=buffer[: end - at, : stop - col]) <= SLACK
+            flat = np.flatnonzero(near)
+            if not len(flat):
+                continue
+            i, j = np.divmod(flat, stop - col)
+            i, j = i + at, j + col
+            keep = i < j
+            if two:
+                keep &= part[i] != part[j]
+            i, j = i[keep], j[keep]
+            if len(i) > PAIRS:  # dense: products of whole strips are cheaper than gathering pairs
+                cos = x[at:end] @ x[col:stop].T
+                good = cos[i - at, j - col] >= threshold
+                i, j = i[good], j[good]
+                first = np.ones(len(i), bool)
+                for c, (p, s) in enumerate(zip(space.parts, squares, strict=False)):
+                    d = s[i] + s[j] - 2 * (z[at:end, p] @ z[col:stop, p].T)[i - at, j - col]
+                    first &= (d > space.budget[c]) if c < b else (d <= space.budget[c])
+            else:
+                good = (x[i] * x[j]).sum(1) >= threshold
+                i, j = i[good], j[good]
+                diff = (z[i] - z[j]) ** 2
                 first = diff[:, space.parts[b]].sum(1) <= space.budget[b]
-                for e in range(b):
-                    first &= diff[:, space.parts[e]].sum(1) > space.budget[e]
-                found.append((a[first], c[first]))
-        for a, c in found:
-            links += np.bincount(a, weight[c], n).astype(np.int64) + np.bincount(c, weight[a], n).astype(np.int64)
-            label = _labels(n, a, c, label)
+                for c in range(b):
+                    first &= diff[:, space.parts[c]].sum(1) > space.budget[c]
+            i, j = i[first], j[first]
+            if len(i):
+                links += np.bincount(i, weight[j], n).astype(np.int64) + np.bincount(j, weight[i], n).astype(np.int64)
+                label = _labels(i, j, label)
     return links, label
 
 
@@ -252,11 +256,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         space = spaces.value[dim]
         x = unit_rows(np.frombuffer(b"".join(tile["raw"]), kind).reshape(-1, dim))
         did = tile["did"].to_numpy()
-        order = np.argsort(did)  # labels then name the smallest id
+        home = tile["home"].to_numpy(bool)
+        order = np.argsort(~home, kind="stable")
         x, did = x[order], did[order]
-        links, label = link_tile(x, x @ space.axes, tile["home"].to_numpy(bool)[order], tile["part"].to_numpy()[order], tile["weight"].to_numpy()[order], space, b, threshold)
+        by_id = np.argsort(did)
+        label = np.empty(len(did), np.int64)
+        label[by_id] = np.arange(len(did))  # a label is the place of an id among all
+        links, label = link_tile(x, x @ space.axes, int(home.sum()), tile["part"].to_numpy()[order], tile["weight"].to_numpy()[order], label, space, b, threshold)
         some = links > 0
-        return pd.DataFrame({"did": did[some], "links": links[some], "root": did[label[some]]})
+        return pd.DataFrame({"did": did[some], "links": links[some], "root": did[by_id][label[some]]})
 
     linked = Kept(tiles.groupBy("dim", "b", "cell", "lo", "hi").applyInPandas(link, "did long, links long, root long"), "links").df
     counts = linked.groupBy("did").agg(F.sum("links").alias("links"))
