@@ -45,7 +45,7 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 
 def tokenized_pieces(docs: DataFrame, carry: tuple[str, ...], tokenizer: str, spaces: bool, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
     """``carry`` columns and the pieces of each document: whole up to capacity, else cut every capacity ids."""
-    bound_arrow(docs.sparkSession)
+    bound_arrow(docs.sparkSession, 4000)
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], empty_text(text).alias("_text"))
     schema = rows.select(*[F.col(f"`{c}`") for c in carry]).schema
 

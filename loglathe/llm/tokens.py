@@ -1,11 +1,10 @@
-"""Whole-text encoding with the tokenizers library, a space-separated word at a time.
-
-Neither of the vocabularies' pre-tokenizers lets a token cross the border before a space that follows a
-non-space and precedes a non-space, nor the border between letters and the punctuation behind them.  So a
-text is the concatenation of its words (each with the space before it, where the vocabulary keeps
-spaces), and a word of letters and punctuation that of its two *atoms*.  Atoms and words repeat, so each
-distinct atom is encoded once, and words and atoms are kept in bounded caches.  A text with other white
-space than single spaces and line feeds is encoded as a whole where white space counts.
+"""Whole-text encoding with the tokenizers library, an atom of text at a time.
+
+A text is cut where no token of the vocabularies' pre-tokenizers can reach across: before a space or line
+feed that follows a character, behind a single line feed, and between a letter and a sign (but for the
+apostrophe).  Cuts are found on bytes, for many texts at once; the atoms between them repeat, so each
+distinct one is encoded once and kept in a bounded cache.  A text with white space outside ASCII is one
+atom where white space counts.
 """
 
 from __future__ import annotations
@@ -20,16 +19,41 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most words kept (about 170 bytes each); beyond it only words met more than once stay.
-CACHE_WORDS = 1_000_000
+#: Most atoms kept (about 170 bytes each); beyond it only those met in more than one batch stay.
+CACHE_ATOMS = 1_000_000
 #: Bytes of text encoded together.
-BATCH_CHARS = 4_000_000
-
-
-#: RE2: a run of spaces, or white space (as Unicode has it) that is neither a space nor a line feed.
-_ODD = "  |[\\t\\v\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-# signs of ASCII only: a combining mark would compose with the letter before it
-_LETTERS_THEN_SIGNS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)\Z")
+BATCH_BYTES = 8_000_000
+
+
+#: Atoms encoded in one text; white space of any kind.
+FENCED = 2000
+_INNER = re.compile(r"[\s\x1c-\x1f\x85]")
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:48] = _SIGN[58:65] = _SIGN[91:97] = _SIGN[123:127] = True
+_SIGN[39] = False
+#: A-Z in lower case, white space as a space: for vocabularies that do not tell these apart.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[_SPACE] = 32
+
+
+def _wide_spaces(raw: np.ndarray) -> np.ndarray:
+    """Places of white space outside ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000."""
+    at = np.flatnonzero((raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3)))
+    at = at[at < len(raw) - 2] if len(raw) > 2 else at[:0]
+    a, b, c = raw[at], raw[at + 1], raw[at + 2]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    e2 = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    other = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    found = at[two | e2 | other]
+    if len(raw) > 1 and raw[-2] == 0xC2 and raw[-1] in (0x85, 0xA0):
+        found = np.append(found, len(raw) - 2)
+    return found
 
 
 class _Table:
@@ -73,54 +97,66 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.spaces = spaces
-        self.words, self.atoms = _Table(), _Table()
-
-    def _atoms(self, word: str) -> list[str]:
-        if "\n" in word:
-            parts = word.split("\n")
-            if self.spaces and "" not in parts and parts[0] != " ":
-                return [a for k, p in enumerate(parts) for a in (["\n"] if k else []) + self._atoms(p)]
-            return [word]
-        m = _LETTERS_THEN_SIGNS.match(word)
-        if m is None:
-            return [word]
-        core = m[1] if self.spaces or "\u03a3" in word else m[1].lower()  # sigma's lower case depends on its place
-        return [core, m[2]] if m[2] else [core]
-
-    def _learn(self, words: list[str]) -> None:
-        split = [self._atoms(w) for w in words]
-        fresh = set().union(*split) - self.atoms.index.keys()
-        if len(self.atoms.index) + len(fresh) > CACHE_WORDS // 2:
-            self.atoms.shrink(CACHE_WORDS // 4)
-            fresh = set().union(*split) - self.atoms.index.keys()
-        if fresh:
-            names = sorted(fresh)
-            lists = [x.ids for x in self.tok.encode_batch_fast(names, add_special_tokens=False)]
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.atoms.add(names, np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens)
-        rows = np.fromiter(map(self.atoms.index.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        self.atoms.uses += np.bincount(rows, minlength=len(self.atoms.uses)).astype(np.int32)
-        ids, lens = self.atoms.take(rows)
-        word_of = np.repeat(np.arange(len(words)), np.fromiter(map(len, split), np.int64, len(split)))
-        self.words.add(words, ids, np.bincount(word_of, lens, len(words)).astype(np.int64))
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        """Numbers of words (distinct ones) in the word table, after learning what it lacks."""
-        index = self.words.index
-        found = list(map(index.get, words))
+        self.atoms = _Table()
+        self.fence = "\n" if spaces else " \x01 "
+        (self.fence_id,) = self.tok.encode("\n" if spaces else "\x01", add_special_tokens=False).ids
+
+    def _each(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [x.ids for x in self.tok.encode_batch_fast(names, add_special_tokens=False)]
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens
+
+    def _learn(self, names: list[str]) -> None:
+        """Atoms are encoded many at a time, with the fence between them, which is one token by itself."""
+        fenced, alone = [], []
+        for a in names:
+            (alone if "\x01" in a or _INNER.search(a, 1) or a in ("", " ", "\n") else fenced).append(a)
+        for k in range(0, len(fenced), FENCED):
+            part = fenced[k : k + FENCED]
+            ids = np.array(self.tok.encode_batch_fast([self.fence.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.fence_id), len(ids))
+            if len(ends) == len(part):
+                lens = np.diff(ends, prepend=-1) - 1
+                self.atoms.add(part, ids[ids != self.fence_id], lens)
+            else:  # an atom that holds the fence's token
+                alone += part
+        if alone:
+            self.atoms.add(alone, *self._each(alone))
+
+    def _rows(self, names: list[str]) -> np.ndarray:
+        """Numbers of distinct atoms in the table, after learning what it lacks."""
+        found = list(map(self.atoms.index.get, names))
         if None in found:
-            new = [w for w, k in zip(words, found, strict=True) if k is None]
-            if len(index) + len(new) > CACHE_WORDS:
-                self.words.shrink(CACHE_WORDS // 2)
-                index = self.words.index
-                found = list(map(index.get, words))
-                new = [w for w, k in zip(words, found, strict=True) if k is None]
+            new = [w for w, k in zip(names, found, strict=True) if k is None]
+            if len(self.atoms.index) + len(new) > CACHE_ATOMS:
+                self.atoms.shrink(CACHE_ATOMS // 2)
+                new = [w for w in names if w not in self.atoms.index]
             self._learn(new)
-            found = list(map(index.__getitem__, words))
+            found = list(map(self.atoms.index.__getitem__, names))
         rows = np.array(found, np.int64)
-        self.words.uses[rows] += 1
+        self.atoms.uses[rows] += 1
         return rows
 
+    def _cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of atoms, text by text."""
+        cut = np.zeros(len(raw) + 1, bool)
+        space, before = _SPACE[raw], np.empty(len(raw), np.uint8)
+        before[:1], before[1:] = 32, raw[:-1]
+        after_solid = ~_SPACE[before]
+        cut[:-1] = _LETTER[before] & _SIGN[raw]
+        if self.spaces:
+            cut[:-1] |= after_solid & ((raw == 32) | (raw == 10))
+            # behind a line feed with something on either side
+            lone = np.flatnonzero((raw[:-1] == 10) & after_solid[:-1] & ~space[1:])
+            cut[lone + 1] = True
+            if len(wide := _wide_spaces(raw)):
+                for k in np.unique(np.searchsorted(offsets, wide, "right") - 1).tolist():
+                    cut[offsets[k] : offsets[k + 1]] = False
+        else:
+            cut[:-1] |= after_solid & space
+        cut[offsets] = True
+        return np.flatnonzero(cut[:-1])
+
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         gc.disable()  # many short-lived lists, no cycles: collections would walk them over and over
@@ -130,48 +166,31 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.spaces else np.zeros(len(texts), bool)
-        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
-        if self.spaces:
-            lists = pc.split_pattern(plain, " ")
-        else:
-            lists = pc.ascii_split_whitespace(plain)
-            # white space at the ends leaves empty words, which have no ids
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        per = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
-        if self.spaces:
-            first = (np.cumsum(per) - per)[per > 0]
-            heads, where = np.unique(codes[first], return_inverse=True)
-            both = [" " + w for w in distinct] + [distinct[k] for k in heads.tolist()]
-            numbers = self._rows(both)
-            rows = numbers[codes]
-            rows[first] = numbers[len(distinct) + where]
-        else:
-            rows = self._rows(distinct)[codes]
-        ids, lens = self.words.take(rows)
-        total = np.bincount(np.repeat(np.arange(len(per)), per), lens, len(per)).astype(np.int64)
-        if not odd.any():
-            return ids, total
-        whole = [x.ids for x in self.tok.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
-        own = np.zeros(len(texts), np.int64)
-        own[~odd], own[odd] = total, np.fromiter(map(len, whole), np.int64, len(whole))
-        out = np.empty(int(own.sum()), np.uint32)
-        is_odd = np.repeat(odd, own)
-        out[~is_odd] = ids
-        out[is_odd] = np.fromiter(chain.from_iterable(whole), np.uint32, int(is_odd.sum()))
-        return out, own
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(raw):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        if not self.spaces:
+            raw = _FOLD[raw]
+        starts = self._cuts(raw, offsets)
+        bounds = np.append(starts, len(raw)).astype(np.int64)
+        atoms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw)))
+        coded = atoms.dictionary_encode()
+        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, lens = self.atoms.take(rows)
+        text_of = np.searchsorted(offsets, starts, "right") - 1
+        return ids, np.bincount(text_of, lens, len(texts)).astype(np.int64)
 
 
 def batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, last) index pairs of runs of at most about BATCH_CHARS."""
+    """(first, last) index pairs of runs of at most about BATCH_BYTES."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     first = 0
     while first < len(sizes):
         base = sizes[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(sizes, base + BATCH_CHARS, "right")))
+        last = max(first + 1, int(np.searchsorted(sizes, base + BATCH_BYTES, "right")))
         yield first, last
         first = last
 
