@@ -8,9 +8,9 @@ a longer prefix brings more postings, but of the candidates that its frequent sh
 count that share l.  A pair needs the smaller l of the two.
 
 Only components are wanted, so candidates are verified in two rounds.  First each prefix shingle offers
-its documents to just two of them, the smallest and the largest; then, of the shingles whose documents are
-not yet in one component, all pairs across components, each pair with as many shared prefix shingles as
-it needs.  The shingle's most frequent component is never paired with itself, so a large group of near
+its documents two of them, the smallest and the largest, and each document tries the one offered most
+often; then, of the shingles whose documents are not yet in one component, all pairs across components
+that pass the filters, each with as many shared prefix shingles as it needs.  The shingle's most frequent component is never paired with itself, so a large group of near
 copies costs no more than its size.
 
 Equal sets are one throughout; a set is named by 64 bits (of N different sets, N*N / 2**65 pairs are expected
@@ -35,28 +35,30 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Kept, bound_arrow
 from .components import components
 
-#: Counters of the sketch (two bytes each), and counters to a chunk of it.
-SKETCH, CHUNK = 1 << 23, 1 << 16
-#: Shingles gathered before they are counted; the longest l; the cost of a candidate in postings.
-GATHER, LONGEST, VERIFY = 6_000_000, 8, 4.0
+#: The sketch has 2 ** SKETCH_BITS counters of two bytes; counters to a chunk of it.
+SKETCH_BITS, CHUNK = 23, 1 << 16
+#: Shingles gathered before they are counted; bounds of l, as a number and as a part of n.
+GATHER, LONGEST, SHARE = 6_000_000, 8, 16
+#: Other documents that a shingle has unseen by the sketch, and what verifying costs, in postings a shingle.
+UNSEEN, VERIFY = 0.05, 0.5
 SIMILAR = 80
 
 
-def _count(parts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+def _count(parts: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
     import zstandard
 
-    counts = np.bincount(np.concatenate(parts), minlength=SKETCH)
-    for k in range(0, SKETCH, CHUNK):
+    counts = np.bincount(np.concatenate(parts), minlength=1 << bits)
+    for k in range(0, 1 << bits, CHUNK):
         part = counts[k : k + CHUNK]
         if part.any():
             yield k // CHUNK, zstandard.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int32)
+def _slot(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def describe(docs: DataFrame, id_col: str, text: str) -> Kept:
+def describe(docs: DataFrame, id_col: str, text: str, bits: int = SKETCH_BITS) -> Kept:
     """One pass: a row a document (doc_id, tid: hash of its text, sid, n), and rows of counts (chunk, counts)."""
     from .shingles import set_id, sets
 
@@ -66,7 +68,7 @@ def describe(docs: DataFrame, id_col: str, text: str) -> Kept:
         held = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            out = list(_count(parts))
+            out = list(_count(parts, bits))
             n = len(out)
             none = pa.nulls(n, pa.int64())
             if n:
@@ -83,7 +85,7 @@ def describe(docs: DataFrame, id_col: str, text: str) -> Kept:
                 sizes.append(len(s))
                 if sid is not None and sid not in seen:  # equal sets count once a task
                     seen.add(sid)
-                    parts.append(_slot(s))
+                    parts.append(_slot(s, bits))
                     held += len(s)
             n = len(sids)
             yield pa.RecordBatch.from_arrays(
@@ -100,7 +102,7 @@ def describe(docs: DataFrame, id_col: str, text: str) -> Kept:
     return Kept(rows.mapInArrow(run, "doc_id long, tid long, sid long, n long, chunk int, counts binary"), "sets")
 
 
-def sketch(described: DataFrame) -> np.ndarray:
+def sketch(described: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """The counters of all documents: a table of fixed size, merged in two steps."""
     import zstandard
 
@@ -113,7 +115,7 @@ def sketch(described: DataFrame) -> np.ndarray:
     shape = "chunk int, counts binary"
     parts = described.where("chunk is not null").select("chunk", "counts").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
     some = parts.groupBy("chunk", "salt").applyInPandas(merge, shape)
-    out = np.zeros(SKETCH, np.uint16)
+    out = np.zeros(1 << bits, np.uint16)
     for r in some.groupBy("chunk").applyInPandas(merge, shape).collect():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zstandard.decompress(r["counts"], CHUNK * 2), "<u2")
     return out
@@ -127,41 +129,45 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float, similar: int
     n = len(shingles)
     t = -(-similar * n // 100)
     order = np.argsort(counts, kind="stable")
-    most = min(LONGEST, t, n)
-    excess = np.cumsum(np.maximum(counts[order[: n - t + most]].astype(np.float64) - usual, 0))
+    most = min(max(LONGEST, n // SHARE), t, n)
+    others = np.cumsum(np.maximum(counts[order[: n - t + most]].astype(np.float64) - usual, UNSEEN))
     choices = np.arange(1, most + 1)
-    cost = (n - t + choices) + VERIFY * excess[n - t + choices - 1] / choices
+    # at most others / l documents can share l of these shingles
+    cost = (n - t + choices) + VERIFY * n * others[n - t + choices - 1] / choices
     ell = int(choices[int(np.argmin(cost))])
     return shingles[order[: n - t + ell]], ell
 
 
 def postings(docs: DataFrame, text: str, counters: np.ndarray, total: int) -> DataFrame:
-    """(token, sid, n, l) of the prefixes; equal sets once a task."""
+    """(token, sid, n, l, pos: place in the global order) of the prefixes; equal sets once a task."""
     from .shingles import set_id, sets
 
-    load = total / SKETCH
+    bits = len(counters).bit_length() - 1
+    load = total / len(counters)
     usual = load + 4 * load**0.5 + 1
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, sids, sizes, ells, lens = [], [], [], [], []
+            tokens, sids, sizes, ells, places, lens = [], [], [], [], [], []
             for s in sets(batch.column("text")):
                 if len(s) and (sid := set_id(s)) not in seen:
                     seen.add(sid)
-                    c = shared.value[_slot(s)]
+                    c = shared.value[_slot(s, bits)]
                     p, ell = prefix(s, c, usual)
-                    if load < 0.5:  # a count of one proves that no other document has the shingle
-                        p = p[shared.value[_slot(p)] > 1]
-                    tokens.append(p.view(np.int64)), sids.append(sid), sizes.append(len(s)), ells.append(ell), lens.append(len(p))
+                    # a count of one proves that no other document has the shingle
+                    at = np.flatnonzero(shared.value[_slot(p, bits)] > 1) if load < 0.5 else np.arange(len(p))
+                    tokens.append(p[at].view(np.int64)), places.append(at.astype(np.int32))
+                    sids.append(sid), sizes.append(len(s)), ells.append(ell), lens.append(len(at))
             if tokens:
                 col = lambda v, t: pa.array(np.repeat(np.array(v, t), lens))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), col(sids, np.int64), col(sizes, np.int32), col(ells, np.int32)], names=["token", "sid", "n", "l"]
+                    [pa.array(np.concatenate(tokens)), col(sids, np.int64), col(sizes, np.int32), col(ells, np.int32), pa.array(np.concatenate(places))],
+                    names=["token", "sid", "n", "l", "pos"],
                 )
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, sid long, n int, l int")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, sid long, n int, l int, pos int")
 
 
 def verified(docs: DataFrame, text: str, described: DataFrame, pairs: Kept, similar: int = SIMILAR) -> Kept:
@@ -207,45 +213,48 @@ def verified(docs: DataFrame, text: str, described: DataFrame, pairs: Kept, simi
 
 
 def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs across components that share as many prefix shingles as they need.
+    """Pairs across components that can still link: near in size, sharing as many prefix shingles as they need,
+    with enough shingles left from the first shared one on.
 
-    found: (token, sid, n, l); named: (sid, root).
+    found: (token, sid, n, l, pos); named: (sid, root).
     """
     rows = found.join(named, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     per = rows.groupBy("token", "root").agg(F.count("*").alias("m"))
     main = per.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
     split = rows.join(main.select("token", F.col("top.root").alias("main")), "token")
-    one = split.where("root <> main").select("token", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("l").alias("la"))
-    other = split.select("token", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("l").alias("lb"), "main")
+    side = lambda k: [F.col("sid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("root", "n", "l", "pos")]]
+    one, other = split.where("root <> main").select("token", *side("a")), split.select("token", "main", *side("b"))
     near = one.join(other, "token").where(
-        (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
+        (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
+        & (100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
     )
-    pair = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("need"))
-    return pair.where("shared >= need").select("a", "b")
+    pair = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("need"), F.min(F.col("n_a") + F.col("n_b")).alias("both"),
+        F.max(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))).alias("left"),
+    )
+    return pair.where(F.expr(f"shared >= need and (100 + {SIMILAR}) * left >= {SIMILAR} * both")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, tid (the hash of the text), n_shingles and component_id of every row."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    described = describe(docs, id_col, text)
+    described = describe(docs, id_col, text, bits)
     rows = described.df.where("chunk is null")
-    counters = sketch(described.df)
+    counters = sketch(described.df, bits)
     total = int(counters.sum(dtype=np.int64))
 
     found = postings(docs, text, counters, total)
     of_token = Window.partitionBy("token")
     found = found.withColumn("lo", F.min("sid").over(of_token)).withColumn("hi", F.max("sid").over(of_token)).where("lo <> hi")
     found = Kept(found, "postings")
-    ends = F.explode(F.array("lo", "hi"))
-    pairs = Kept(
-        found.df.select("sid", "lo", "hi").distinct().select("sid", ends.alias("end")).where("sid <> end")
-        .select(F.least("sid", "end").alias("a"), F.greatest("sid", "end").alias("b")).distinct(), "pairs",
-    )
+    # of the two ends that its shingles offer, each document tries the one that most of them agree on
+    ends = found.df.select("sid", F.explode(F.array("lo", "hi")).alias("end")).where("sid <> end").groupBy("sid", "end").agg(F.count("*").alias("votes"))
+    best = ends.groupBy("sid").agg(F.max(F.struct("votes", "end")).alias("top")).select("sid", F.col("top.end").alias("end"))
+    pairs = Kept(best.select(F.least("sid", "end").alias("a"), F.greatest("sid", "end").alias("b")).distinct(), "pairs")
     links = verified(docs, text, rows, pairs)
     named = Kept(components(links.df).select(F.col("id").alias("sid"), F.col("component_id").alias("root")), "named")
-    more = Kept(cross_pairs(found.df.select("token", "sid", "n", "l").distinct(), named.df), "pairs")
+    more = Kept(cross_pairs(found.df.select("token", "sid", "n", "l", "pos").distinct(), named.df), "pairs")
     if not more.df.isEmpty():
         again = verified(docs, text, rows, more)
         named = Kept(components(links.df.unionByName(again.df)).select(F.col("id").alias("sid"), F.col("component_id").alias("root")), "named")

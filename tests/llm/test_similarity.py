@@ -116,12 +116,11 @@ def test_shingles():
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_join(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SKETCH", 1 << 17 if seed > 1 else 1 << 16)
+def test_join(spark, seed):
     texts = corpus(seed)
     sizes, comp = joined(texts)
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(4)
-    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(df).collect()}
+    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(df, bits=16).collect()}
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
     assert {i: got[i]["component_id"] for i in got} == comp
     left = ngram_join.one_of_each(df)
