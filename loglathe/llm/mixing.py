@@ -10,7 +10,7 @@ and probabilities b/(a+b) and a/(a+b).  One of the two becomes integral, ``s*p +
 is the expectation of either.  Groups of at most ``FAN`` documents are folded by such steps, leaving one
 undecided document each; these residuals form the next level of a reduction tree, until a source has one
 left, which is rounded by itself.  So the words taken of a source differ from its target by less than
-one document.  Randomness is the hash of seed, document and level: reruns agree.
+one document.  Randomness is the hash of seed, level and the documents' content: reruns agree, up to equal rows.
 
 Defined results: a null text has size 0 and is not taken; equal rows are documents of their own; a null
 source is a source, the last; an empty table gives an empty result; other columns pass through, and
@@ -61,8 +61,8 @@ def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
 
 
 def _fold(docs: Column, seed: int, level: int) -> Column:
-    """Folds an array of (uid, u, size, p) by pivotal steps: decided documents with 0 or 1, and the residual."""
-    carry = "struct<uid:long,size:long,p:double>"
+    """Folds an array of (key, uid, size, p) by pivotal steps: decided documents with 0 or 1, and the residual."""
+    carry = "struct<key:long,uid:long,size:long,p:double>"
     done = "array<struct<uid:long,one:boolean>>"
 
     def step(acc: Column, d: Column) -> Column:
@@ -70,7 +70,7 @@ def _fold(docs: Column, seed: int, level: int) -> Column:
         s, t, p, q = c["size"].cast("double"), d["size"].cast("double"), c["p"], d["p"]
         a = F.least((1 - p) * s, q * t)
         b = F.least(p * s, (1 - q) * t)
-        up = unit(F.lit(seed), F.lit(level), d["uid"], c["uid"]) * (a + b) < b
+        up = unit(F.lit(seed), F.lit(level), d["key"], c["key"]) * (a + b) < b
         p2 = F.when(up, p + a / s).otherwise(p - b / s)
         q2 = F.when(up, q - a / t).otherwise(q + b / t)
         first = (p2 <= EPS) | (p2 >= 1 - EPS)  # then c is decided and d goes on, else the other way round
@@ -78,34 +78,37 @@ def _fold(docs: Column, seed: int, level: int) -> Column:
             F.struct(d["uid"].alias("uid"), (q2 > 0.5).alias("one"))
         )
         rest = F.when(
-            first, F.struct(d["uid"].alias("uid"), d["size"].alias("size"), F.least(F.greatest(q2, F.lit(0.0)), F.lit(1.0)).alias("p"))
-        ).otherwise(F.struct(c["uid"].alias("uid"), c["size"].alias("size"), F.least(F.greatest(p2, F.lit(0.0)), F.lit(1.0)).alias("p")))
+            first, F.struct(d["key"].alias("key"), d["uid"].alias("uid"), d["size"].alias("size"), F.least(F.greatest(q2, F.lit(0.0)), F.lit(1.0)).alias("p"))
+        ).otherwise(F.struct(c["key"].alias("key"), c["uid"].alias("uid"), c["size"].alias("size"), F.least(F.greatest(p2, F.lit(0.0)), F.lit(1.0)).alias("p")))
         return F.struct(rest.cast(carry).alias("c"), F.array_append(acc["d"], out).cast(done).alias("d"))
 
     head = F.element_at(docs, 1)
     start = F.struct(
-        F.struct(head["uid"].alias("uid"), head["size"].alias("size"), head["p"].alias("p")).cast(carry).alias("c"),
+        F.struct(head["key"].alias("key"), head["uid"].alias("uid"), head["size"].alias("size"), head["p"].alias("p")).cast(carry).alias("c"),
         F.array().cast(done).alias("d"),
     )
     return F.aggregate(F.slice(docs, 2, FAN), start, step)
 
 
 def _level(rows: DataFrame, seed: int, level: int) -> Kept:
-    """rows (src, uid, size, p, n: rows of src) -> groups of at most FAN, folded."""
-    salt = F.pmod(F.xxhash64(F.lit(level), "uid"), F.ceil(F.col("n") / SORTED)).cast("long")
-    order = Window.partitionBy("src", "salt").orderBy(F.xxhash64("uid"), "uid")
+    """rows (src, key, uid, size, p, n: rows of src) -> groups of at most FAN, folded."""
+    salt = F.pmod(F.xxhash64(F.lit(level), "key"), F.ceil(F.col("n") / SORTED)).cast("long")
+    order = Window.partitionBy("src", "salt").orderBy("key", "uid")
     grouped = (
         rows.withColumn("salt", salt)
         .withColumn("grp", F.floor((F.row_number().over(order) - 1) / FAN))
         .groupBy("src", "salt", "grp")
-        .agg(F.sort_array(F.collect_list(F.struct("uid", "size", "p"))).alias("docs"))
+        .agg(F.sort_array(F.collect_list(F.struct("key", "uid", "size", "p"))).alias("docs"))
     )
     return Kept(grouped.select("src", _fold(F.col("docs"), seed, level).alias("f")).select("src", "f.c", "f.d"), f"mix{level}")
 
 
 def round_copies(docs: DataFrame, seed: int = 20240229) -> DataFrame:
-    """docs (uid: unique, src, size, expect: copies expected) -> (uid, extra): 1 where the fraction is rounded up."""
-    frac = docs.select("src", "uid", "size", (F.col("expect") - F.floor("expect")).alias("p")).where(
+    """docs (uid: unique, key, src, size, expect: copies expected) -> (uid, extra): 1 where the fraction is rounded up.
+
+    All choices hang on key; uid only tells rows of equal keys apart.
+    """
+    frac = docs.select("src", "key", "uid", "size", (F.col("expect") - F.floor("expect")).alias("p")).where(
         (F.col("size") > 0) & (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
     )
     decided, level, rows = [], 0, frac
@@ -114,10 +117,10 @@ def round_copies(docs: DataFrame, seed: int = 20240229) -> DataFrame:
         # one row a source, as large as the table of targets; no hint: Spark broadcasts it by its known size only
         kept = _level(rows.join(counts, "src"), seed, level)
         decided.append(kept.df.select(F.explode("d").alias("d")).select("d.uid", "d.one"))
-        residual = kept.df.select("src", "c.uid", "c.size", "c.p")
+        residual = kept.df.select("src", "c.key", "c.uid", "c.size", "c.p")
         most = residual.groupBy("src").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
-            last = residual.select("uid", (unit(F.lit(seed), F.lit("last"), "uid") < F.col("p")).alias("one"))
+            last = residual.select("uid", (unit(F.lit(seed), F.lit("last"), "key") < F.col("p")).alias("one"))
             break
         rows, level = residual.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)), level + 1
         decided.append(residual.where((F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)).select("uid", (F.col("p") > 0.5).alias("one")))
@@ -133,9 +136,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", share: floa
     Returns (plan, sources); plan has the columns ``carry``, ``source``, ``size``, ``source_size``, ``target``,
     ``copies`` and ``taken`` = copies * size.  Texts are read once, for their sizes, and never shuffled.
     """
+    carry = tuple(c for c in carry if c not in ("size", "source_size", "target", "copies", "taken"))
     sized = docs.select(
         *[F.col(f"`{c}`") for c in carry], F.col(f"`{source}`").cast("string").alias("_source"),
         word_count(F.col(f"`{text}`")).alias("_size"), F.monotonically_increasing_id().alias("uid"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in (*carry, text, source)]).alias("key"),
     )
     sized = Kept(sized, "mix-sizes").df
     sources = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
@@ -148,7 +153,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", share: floa
         "expect", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
     whole = F.floor(F.col("expect") + EPS)
-    extra = round_copies(ready.select("uid", "src", F.col("_size").alias("size"), F.greatest(F.col("expect"), F.lit(0.0)).alias("expect")))
+    extra = round_copies(ready.select("uid", "key", "src", F.col("_size").alias("size"), F.greatest(F.col("expect"), F.lit(0.0)).alias("expect")))
     copies = F.when(F.col("_size") > 0, whole + F.coalesce("extra", F.lit(0))).otherwise(0)
     plan = ready.join(extra, "uid", "left").select(
         *[F.col(f"`{c}`") for c in carry], F.col("_source").alias("_src"), F.col("_size").alias("size"),
@@ -159,7 +164,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", share: floa
 
 def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: every document as often as its copies say, with the columns of ``docs``."""
-    plan, _ = mix(docs, text, source, share, cap, carry=tuple(docs.columns))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`"), F.col(f"`{source}`"))
+    plan, _ = mix(rows, text, source, share, cap, carry=("_row",))
     return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+        *[F.col("_row")[c].alias(c) for c in docs.columns]
     )

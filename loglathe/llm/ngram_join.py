@@ -38,7 +38,7 @@ from .components import components
 #: The sketch has 2 ** SKETCH_BITS counters of two bytes; counters to a chunk of it.
 SKETCH_BITS, CHUNK = 23, 1 << 16
 #: Shingles gathered before they are counted; bounds of l, as a number and as a part of n.
-GATHER, LONGEST, SHARE = 6_000_000, 8, 16
+GATHER, LONGEST, SHARE = 6_000_000, 8, 32
 #: Other documents that a shingle has unseen by the sketch, and what verifying costs, in postings a shingle.
 UNSEEN, VERIFY = 0.05, 0.5
 SIMILAR = 80
@@ -249,7 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = found.withColumn("lo", F.min("sid").over(of_token)).withColumn("hi", F.max("sid").over(of_token)).where("lo <> hi")
     found = Kept(found, "postings")
     # of the two ends that its shingles offer, each document tries the one that most of them agree on
-    ends = found.df.select("sid", F.explode(F.array("lo", "hi")).alias("end")).where("sid <> end").groupBy("sid", "end").agg(F.count("*").alias("votes"))
+    # (where that are as many as its l: others are left to the second round)
+    ends = found.df.select("sid", "l", F.explode(F.array("lo", "hi")).alias("end")).where("sid <> end")
+    ends = ends.groupBy("sid", "l", "end").agg(F.count("*").alias("votes")).where("votes >= l")
     best = ends.groupBy("sid").agg(F.max(F.struct("votes", "end")).alias("top")).select("sid", F.col("top.end").alias("end"))
     pairs = Kept(best.select(F.least("sid", "end").alias("a"), F.greatest("sid", "end").alias("b")).distinct(), "pairs")
     links = verified(docs, text, rows, pairs)

@@ -25,9 +25,9 @@ CACHE_ATOMS = 1_000_000
 BATCH_BYTES = 8_000_000
 
 
-#: Atoms encoded in one text; white space of any kind.
+#: Atoms encoded in one text, and those that may be: no white space but a space in front.
 FENCED = 2000
-_INNER = re.compile(r"[\s\x1c-\x1f\x85]")
+_PLAIN = re.compile(r" ?[^\s\x01\x1c-\x1f\x85]+")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -110,7 +110,7 @@ class Encoder:
         """Atoms are encoded many at a time, with the fence between them, which is one token by itself."""
         fenced, alone = [], []
         for a in names:
-            (alone if "\x01" in a or _INNER.search(a, 1) or a in ("", " ", "\n") else fenced).append(a)
+            (fenced if _PLAIN.fullmatch(a) else alone).append(a)
         for k in range(0, len(fenced), FENCED):
             part = fenced[k : k + FENCED]
             ids = np.array(self.tok.encode_batch_fast([self.fence.join(part)], add_special_tokens=False)[0].ids, np.uint32)
