@@ -8,9 +8,9 @@ a longer prefix brings more postings, but of the candidates that its frequent sh
 count that share l.  A pair needs the smaller l of the two.
 
 Only components are wanted, so candidates are verified in two rounds.  First each prefix shingle offers
-its documents two of them, the smallest and the largest, and each document tries the one offered most
-often; then, of the shingles whose documents are not yet in one component, all pairs across components
-that pass the filters, each with as many shared prefix shingles as it needs.  The shingle's most frequent component is never paired with itself, so a large group of near
+its documents two of them, the likeliest centre and the smallest, and each document tries those offered
+most often; then, of the shingles whose documents are not yet in one component, all pairs across components
+that pass the filters (size, shared prefix shingles, and what can be shared behind the last of them).  The shingle's most frequent component is never paired with itself, so a large group of near
 copies costs no more than its size.
 
 Equal sets are one throughout; a set is named by 64 bits (of N different sets, N*N / 2**65 pairs are expected
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Kept, bound_arrow
 from .components import components
 
-#: The sketch has 2 ** SKETCH_BITS counters of two bytes; counters to a chunk of it.
-SKETCH_BITS, CHUNK = 23, 1 << 16
+#: The sketch has 2 ** SKETCH_BITS counters of one byte, which stop at 255; counters to a chunk of it.
+SKETCH_BITS, CHUNK = 25, 1 << 16
 #: Shingles gathered before they are counted; bounds of l, as a number and as a part of n.
 GATHER, LONGEST, SHARE = 6_000_000, 8, 32
 #: Other documents that a shingle has unseen by the sketch, and what verifying costs, in postings a shingle.
@@ -47,11 +47,15 @@ SIMILAR = 80
 def _count(parts: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
     import zstandard
 
-    counts = np.bincount(np.concatenate(parts), minlength=1 << bits)
+    slots = np.concatenate(parts)
+    slots.sort()
+    first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+    counts = np.zeros(1 << bits, np.uint8)
+    counts[slots[first]] = np.minimum(np.diff(np.r_[first, len(slots)]), 255)
     for k in range(0, 1 << bits, CHUNK):
         part = counts[k : k + CHUNK]
         if part.any():
-            yield k // CHUNK, zstandard.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)
+            yield k // CHUNK, zstandard.compress(part.tobytes(), 1)
 
 
 def _slot(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -109,15 +113,15 @@ def sketch(described: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
         for blob in pdf["counts"]:
-            total += np.frombuffer(zstandard.decompress(blob, CHUNK * 2), "<u2")
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].astype("int32"), "counts": [zstandard.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)]})
+            total += np.frombuffer(zstandard.decompress(blob, CHUNK), np.uint8)
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].astype("int32"), "counts": [zstandard.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
 
     shape = "chunk int, counts binary"
     parts = described.where("chunk is not null").select("chunk", "counts").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
     some = parts.groupBy("chunk", "salt").applyInPandas(merge, shape)
-    out = np.zeros(1 << bits, np.uint16)
+    out = np.zeros(1 << bits, np.uint8)
     for r in some.groupBy("chunk").applyInPandas(merge, shape).collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zstandard.decompress(r["counts"], CHUNK * 2), "<u2")
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zstandard.decompress(r["counts"], CHUNK), np.uint8)
     return out
 
 
@@ -157,7 +161,7 @@ def postings(docs: DataFrame, text: str, counters: np.ndarray, total: int) -> Da
                     c = shared.value[_slot(s, bits)]
                     p, ell = prefix(s, c, usual)
                     # a count of one proves that no other document has the shingle
-                    at = np.flatnonzero(shared.value[_slot(p, bits)] > 1) if load < 0.5 else np.arange(len(p))
+                    at = np.flatnonzero(shared.value[_slot(p, bits)] > 1)
                     tokens.append(p[at].view(np.int64)), places.append(at.astype(np.int32))
                     sids.append(sid), sizes.append(len(s)), ells.append(ell), lens.append(len(at))
             if tokens:
@@ -214,7 +218,7 @@ def verified(docs: DataFrame, text: str, described: DataFrame, pairs: Kept, simi
 
 def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
     """Pairs across components that can still link: near in size, sharing as many prefix shingles as they need,
-    with enough shingles left from the first shared one on.
+    with enough shingles left behind the last shared one.
 
     found: (token, sid, n, l, pos); named: (sid, root).
     """
@@ -223,16 +227,20 @@ def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
     main = per.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
     split = rows.join(main.select("token", F.col("top.root").alias("main")), "token")
     side = lambda k: [F.col("sid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("root", "n", "l", "pos")]]
+    lesser = lambda c: F.when(F.col("a") < F.col("b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    greater = lambda c: F.when(F.col("a") < F.col("b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
     one, other = split.where("root <> main").select("token", *side("a")), split.select("token", "main", *side("b"))
     near = one.join(other, "token").where(
         (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & (100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
     )
     pair = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("need"), F.min(F.col("n_a") + F.col("n_b")).alias("both"),
-        F.max(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))).alias("left"),
+        F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("need"), F.min(lesser("n")).alias("n1"), F.min(greater("n")).alias("n2"),
+        F.max(lesser("pos")).alias("p1"), F.max(greater("pos")).alias("p2"),
     )
-    return pair.where(F.expr(f"shared >= need and (100 + {SIMILAR}) * left >= {SIMILAR} * both")).select("a", "b")
+    # both prefixes show all that is shared up to the last shared shingle seen; behind it, at most what is left of either
+    most = "(shared + least(n1 - p1, n2 - p2) - 1)"
+    return pair.where(F.expr(f"shared >= need and {100 + SIMILAR} * {most} >= {SIMILAR} * (n1 + n2)")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
@@ -246,13 +254,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     found = postings(docs, text, counters, total)
     of_token = Window.partitionBy("token")
-    found = found.withColumn("lo", F.min("sid").over(of_token)).withColumn("hi", F.max("sid").over(of_token)).where("lo <> hi")
+    found = found.withColumn("lo", F.min("sid").over(of_token)).withColumn("hi", F.max("sid").over(of_token))
+    # the document with the fewest rarer shingles before this one is the likeliest centre of a group
+    found = found.withColumn("centre", F.min(F.struct("pos", "sid")).over(of_token)["sid"]).where("lo <> hi").drop("hi")
     found = Kept(found, "postings")
-    # of the two ends that its shingles offer, each document tries the one that most of them agree on
-    # (where that are as many as its l: others are left to the second round)
-    ends = found.df.select("sid", "l", F.explode(F.array("lo", "hi")).alias("end")).where("sid <> end")
-    ends = ends.groupBy("sid", "l", "end").agg(F.count("*").alias("votes")).where("votes >= l")
-    best = ends.groupBy("sid").agg(F.max(F.struct("votes", "end")).alias("top")).select("sid", F.col("top.end").alias("end"))
+    # of the centres and of the smallest documents that its shingles offer, each document tries those that most of
+    # them agree on (where that are as many as its l: others are left to the second round)
+    offers = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("centre").alias("end")), F.struct(F.lit(1).alias("kind"), F.col("lo").alias("end"))))
+    offers = found.df.select("sid", "l", offers.alias("o")).select("sid", "l", "o.kind", "o.end").where("sid <> end")
+    offers = offers.groupBy("sid", "l", "kind", "end").agg(F.count("*").alias("votes")).where("votes >= l")
+    best = offers.groupBy("sid", "kind").agg(F.max(F.struct("votes", "end")).alias("top")).select("sid", F.col("top.end").alias("end"))
     pairs = Kept(best.select(F.least("sid", "end").alias("a"), F.greatest("sid", "end").alias("b")).distinct(), "pairs")
     links = verified(docs, text, rows, pairs)
     named = Kept(components(links.df).select(F.col("id").alias("sid"), F.col("component_id").alias("root")), "named")
