@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most atoms kept (about 170 bytes each); beyond it only those met in more than one batch stay.
-CACHE_ATOMS = 1_000_000
+CACHE_ATOMS = 500_000
 #: Bytes of text encoded together.
 BATCH_BYTES = 8_000_000
 
