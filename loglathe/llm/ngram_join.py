@@ -35,8 +35,15 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Kept, bound_arrow
 from .components import components
 
-#: The sketch has 2 ** SKETCH_BITS counters of one byte, which stop at 255; counters to a chunk of it.
-SKETCH_BITS, CHUNK = 25, 1 << 16
+#: The sketch has about a counter (one byte, which stops at 255) for every BYTES_EACH bytes of text, so that it tells
+#: as much at any size, but 2 ** 26 at most; counters to a chunk of it.
+BYTES_EACH, LEAST_BITS, MOST_BITS, CHUNK = 12, 16, 26, 1 << 16
+
+
+def sketch_bits(docs: DataFrame, text: str) -> int:
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("bigint"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, round(np.log2(max(1, total / BYTES_EACH)))))
+
 #: Shingles gathered before they are counted; bounds of l, as a number and as a part of n.
 GATHER, LONGEST, SHARE = 6_000_000, 8, 32
 #: Other documents that a shingle has unseen by the sketch, and what verifying costs, in postings a shingle.
@@ -62,7 +69,7 @@ def _slot(shingles: np.ndarray, bits: int) -> np.ndarray:
     return (shingles >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def describe(docs: DataFrame, id_col: str, text: str, bits: int = SKETCH_BITS) -> Kept:
+def describe(docs: DataFrame, id_col: str, text: str, bits: int) -> Kept:
     """One pass: a row a document (doc_id, tid: hash of its text, sid, n), and rows of counts (chunk, counts)."""
     from .shingles import set_id, sets
 
@@ -106,7 +113,7 @@ def describe(docs: DataFrame, id_col: str, text: str, bits: int = SKETCH_BITS) -
     return Kept(rows.mapInArrow(run, "doc_id long, tid long, sid long, n long, chunk int, counts binary"), "sets")
 
 
-def sketch(described: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch(described: DataFrame, bits: int) -> np.ndarray:
     """The counters of all documents: a table of fixed size, merged in two steps."""
     import zstandard
 
@@ -160,10 +167,8 @@ def postings(docs: DataFrame, text: str, counters: np.ndarray, total: int) -> Da
                     seen.add(sid)
                     c = shared.value[_slot(s, bits)]
                     p, ell = prefix(s, c, usual)
-                    # a count of one proves that no other document has the shingle
-                    at = np.flatnonzero(shared.value[_slot(p, bits)] > 1)
-                    tokens.append(p[at].view(np.int64)), places.append(at.astype(np.int32))
-                    sids.append(sid), sizes.append(len(s)), ells.append(ell), lens.append(len(at))
+                    tokens.append(p.view(np.int64)), places.append(np.arange(len(p), dtype=np.int32))
+                    sids.append(sid), sizes.append(len(s)), ells.append(ell), lens.append(len(p))
             if tokens:
                 col = lambda v, t: pa.array(np.repeat(np.array(v, t), lens))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
@@ -222,17 +227,24 @@ def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
 
     found: (token, sid, n, l, pos); named: (sid, root).
     """
-    rows = found.join(named, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    # no shingle before a document's first shared one is in any other, so n - first are left to share: that bounds the
+    # sizes of both together, and rules a document out that nothing could be near
+    first = found.groupBy("sid").agg(F.min("pos").alias("first"))
+    rows = found.join(named, "sid", "left").join(first, "sid").withColumn("root", F.coalesce("root", "sid"))
+    rows = rows.withColumn("cap", F.expr(f"{100 + SIMILAR} * (n - first)")).where(F.expr(f"100 * cap >= {SIMILAR * (100 + SIMILAR)} * n"))
     per = rows.groupBy("token", "root").agg(F.count("*").alias("m"))
     main = per.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
     split = rows.join(main.select("token", F.col("top.root").alias("main")), "token")
-    side = lambda k: [F.col("sid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("root", "n", "l", "pos")]]
+    side = lambda k: [F.col("sid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("root", "n", "l", "pos", "cap")]]
     lesser = lambda c: F.when(F.col("a") < F.col("b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
     greater = lambda c: F.when(F.col("a") < F.col("b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
     one, other = split.where("root <> main").select("token", *side("a")), split.select("token", "main", *side("b"))
     near = one.join(other, "token").where(
         (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & (100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
+        & (SIMILAR * (F.col("n_a") + F.col("n_b")) <= F.least("cap_a", "cap_b"))
+        # up to here at most the lesser place is shared, from here on at most what is left of either
+        & (SIMILAR * (F.col("n_a") + F.col("n_b")) <= (100 + SIMILAR) * (F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))))
     )
     pair = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("need"), F.min(lesser("n")).alias("n1"), F.min(greater("n")).alias("n2"),
@@ -243,10 +255,11 @@ def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
     return pair.where(F.expr(f"shared >= need and {100 + SIMILAR} * {most} >= {SIMILAR} * (n1 + n2)")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """doc_id, tid (the hash of the text), n_shingles and component_id of every row."""
     spark = docs.sparkSession
     bound_arrow(spark)
+    bits = bits or sketch_bits(docs, text)
     described = describe(docs, id_col, text, bits)
     rows = described.df.where("chunk is null")
     counters = sketch(described.df, bits)
