@@ -243,6 +243,8 @@ def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
         (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & (100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
         & (SIMILAR * (F.col("n_a") + F.col("n_b")) <= F.least("cap_a", "cap_b"))
+        # a pair that links shares o shingles or more, so of its first need shared ones none lies behind n - o + need - 1
+        & F.expr(f"greatest(pos_a - n_a, pos_b - n_b) <= least(l_a, l_b) - 1 - ({SIMILAR} * (n_a + n_b) + {100 + SIMILAR - 1}) div {100 + SIMILAR}")
         # up to here at most the lesser place is shared, from here on at most what is left of either
         & (SIMILAR * (F.col("n_a") + F.col("n_b")) <= (100 + SIMILAR) * (F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))))
     )
