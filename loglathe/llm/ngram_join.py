@@ -227,6 +227,8 @@ def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
 
     found: (token, sid, n, l, pos); named: (sid, root).
     """
+    # the bounds multiply sizes by up to 18000, which an int holds only up to 119,304 shingles
+    found = found.select("token", "sid", *[F.col(c).cast("bigint").alias(c) for c in ("n", "l", "pos")])
     # no shingle before a document's first shared one is in any other, so n - first are left to share: that bounds the
     # sizes of both together, and rules a document out that nothing could be near
     first = found.groupBy("sid").agg(F.min("pos").alias("first"))

@@ -141,6 +141,29 @@ def test_join_ids(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0 and ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
+def test_long_near_copies(spark):
+    r = random.Random(0)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    other = words[:100_000] + ["changed"] + words[100_001:]
+    half = words[:120_000] + [f"v{i}" for i in range(80_000)]  # shares passages, but is not near
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, other, half))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == {0: (199_996, 0), 1: (199_996, 0), 2: (199_996, 2)}
+
+
+def test_second_round_bounds_of_long_documents(spark):
+    # one shared prefix shingle each: no candidates from the first round, so the bounds alone decide
+    n = 30_000_000
+    found = spark.createDataFrame([(t, s, n, 2, t) for t in (0, 1) for s in (1, 2)], "token long, sid long, n int, l int, pos int")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            got = ngram_join.cross_pairs(found, spark.createDataFrame([], "sid long, root long")).collect()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+        assert [tuple(r) for r in got] == [(1, 2)]
+
+
 def test_prefixes_keep_the_promise():
     rng = np.random.default_rng(0)
     for _ in range(300):
