@@ -260,7 +260,11 @@ def cross_pairs(found: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
-    """doc_id, tid (the hash of the text), n_shingles and component_id of every row."""
+    """doc_id, tid (the hash of the text), n_shingles, component_id and root of every row.
+
+    ``root`` names the component by one of its sets, so unlike component_id, a doc_id, no two components share it; it
+    is null for a document without words.
+    """
     spark = docs.sparkSession
     bound_arrow(spark)
     bits = bits or sketch_bits(docs, text)
@@ -292,9 +296,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     rooted = least.join(named.df, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_set = rooted.join(names, "root").select("sid", "component_id")
+    of_set = rooted.join(names, "root").select("sid", "root", "component_id")
     return rows.join(of_set, "sid", "left").select(
-        "doc_id", "tid", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "tid", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root"
     )
 
 
@@ -305,8 +309,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """
     joined = Kept(near_duplicates(docs, id_col, text), "joined").df
     own = joined.where("n_shingles > 0")
-    best = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("best")).select("component_id", "best.doc_id", "best.tid")
-    same = (F.col("o.component_id").eqNullSafe(F.col("k.component_id"))) & F.col("o.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("o.tid") == F.col("k.tid"))
+    best = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("best")).select("root", "best.doc_id", "best.tid")
+    same = (F.col("o.root") == F.col("k.root")) & F.col("o.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("o.tid") == F.col("k.tid"))
     gone = Kept(own.alias("o").join(best.alias("k"), same, "left_anti").select("doc_id", "tid").distinct(), "gone")
     lost = F.broadcast(gone.df) if gone.df.count() <= BROADCAST_ROWS else gone.df
     keyed = docs.withColumn("_tid", F.xxhash64(F.col(f"`{text}`")))

@@ -141,6 +141,14 @@ def test_join_ids(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0 and ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_component_whatever_its_ids(spark):
+    own = lambda i: " ".join(f"{w}{i}" for w in "abcdefgh")
+    rows = [(None, own(i)) for i in range(50)] + [(None, own(0)), (None, own(1) + " ")] + [(7, own(100)), (7, own(101)), (8, own(101)), (7, own(101))]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(left) == 52 and sum(r["text"] == own(101) for r in left) == 1
+    assert {(r["doc_id"], r["text"].strip()) for r in left} == {(None, own(i)) for i in range(50)} | {(7, own(100)), (7, own(101))}
+
+
 def test_long_near_copies(spark):
     r = random.Random(0)
     words = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
