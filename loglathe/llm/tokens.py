@@ -5,6 +5,9 @@ feed that follows a character, behind a single line feed, and between a letter a
 apostrophe).  Cuts are found on bytes, for many texts at once; the atoms between them repeat, so each
 distinct one is encoded once and kept in a bounded cache.  A text with white space outside ASCII is one
 atom where white space counts.
+
+The result is that of the library at its defaults: an added token's string (``<|endoftext|>``) in a text is that
+token.  Texts that hold one are encoded whole.
 """
 
 from __future__ import annotations
@@ -95,7 +98,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # strings that are one token wherever they stand in a text, and across which atoms are cut
+        added = self.tok.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError("an added token that is looked for in the normalised text")
+        self.added = [t.content for t in added]
         self.spaces = spaces
         self.atoms = _Table()
         self.fence = "\n" if spaces else " \x01 "
@@ -161,12 +168,27 @@ class Encoder:
         """Ids of all texts in a row, and how many each has."""
         gc.disable()  # many short-lived lists, no cycles: collections would walk them over and over
         try:
-            return self._encode(texts)
+            texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+            whole = self._with_added(texts)
+            if not whole.any():
+                return self._encode(texts)
+            lens = np.zeros(len(texts), np.int64)
+            rest, lens[~whole] = self._encode(texts.filter(pa.array(~whole)))
+            own, lens[whole] = self._each(texts.filter(pa.array(whole)).to_pylist())
+            ids, of_whole = np.empty(int(lens.sum()), np.uint32), np.repeat(whole, lens)
+            ids[of_whole], ids[~of_whole] = own, rest
+            return ids, lens
         finally:
             gc.enable()
 
-    def _encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+    def _with_added(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold the string of an added token."""
+        out = np.zeros(len(texts), bool)
+        for content in self.added:
+            out |= pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)
+        return out
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from loglathe.llm import packing, queries, tokens
 
@@ -42,6 +43,13 @@ def test_any_text(encoder, texts):
     assert split(encoder, texts) == whole(encoder, texts)
 
 
+def test_added_tokens_as_in_the_library(encoder):
+    fresh = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json" if encoder.spaces else "word_bpe_49k.json"))
+    texts = ["Hello <|endoftext|> world", "plain, between", "<|startoftext|>", "a<|endoftext|><|endoftext|>\n b", "", "<|ENDOFTEXT|> <|endoftext |>", "Last. one\u00a0<|endoftext|>", *ODD]
+    assert split(encoder, texts) == [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert split(encoder, texts[:1]) == [[15496, 220, 50256, 995] if encoder.spaces else [3306, 49407, 1002]]
+
+
 def test_small_cache(encoder, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_ATOMS", 50)
     fresh = tokens.Encoder(queries.tokenizer("word_bpe_49k.json" if not encoder.spaces else "byte_bpe_50k.json"), encoder.spaces)
