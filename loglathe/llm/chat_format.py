@@ -1,9 +1,10 @@
 """Chat formatting: schema fingerprints select declarative mappings into canonical turns.
 
-A record is a JSON text.  Its *schema fingerprint* is the hash of its sorted nested field paths, which
-``schema_of_variant`` yields without types or values.  ``LAYOUTS`` states for each known layout its
+A record is a JSON text, or a struct made of turn rows.  Its *schema fingerprint* is the hash of its sorted
+nested field paths, which ``schema_of_variant`` yields without types or values.  ``LAYOUTS`` states for each known layout its
 field paths and which paths hold the turns; the fingerprint of a record picks the layout.  All
-conversion is DataFrame expressions.
+conversion is DataFrame expressions.  A struct has the fingerprint of its JSON, but its turns are taken from the
+struct itself, since Spark parses no string of more than 20,000,000 characters and no variant of more than 128 MiB.
 
 Template, per turn: ``### <role>: <text></turn>`` and a line feed.  Inside a role or text ``\\``, ``#``
 and ``<`` become ``\\s``, ``\\h`` and ``\\l`` (in a role also ``:`` becomes ``\\c``), so no control string can
@@ -12,7 +13,8 @@ occur there and unescaping is exact.
 Defined results: a null text is empty; a null role is the empty role; turns are ordered by turn, nulls
 first, ties by role, then text; repeated rows are turns of their own; a conversation without turns
 formats to the empty string; rows of a null conv_id form one conversation; a record that is no JSON
-object or matches no layout gets a null ``layout`` and no turns.
+object or matches no layout gets a null ``layout`` and no turns; a JSON text of more than ``PARSED`` characters that
+does not parse raises an error, since it may be a record that is too large.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TURN = "array<struct<role:string,text:string>>"
 END = "</turn>\n"
 LEAD = "### "
+#: Characters of a JSON text that no limit of the parser stops: neither that of a string nor that of a variant.
+PARSED = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -112,9 +117,24 @@ def _turn_of(role: str, body: str) -> Callable[[Column], Column]:
     return lambda t: F.struct(canonical_role(t[role]).alias("role"), F.coalesce(t[body], F.lit("")).alias("text"))
 
 
+def _always(value: Column) -> Callable[[Column], Column]:
+    return lambda _: value
+
+
 def from_json(records: DataFrame, json: str = "record") -> DataFrame:
-    """Adds ``schema_fingerprint``, ``layout`` and ``turns`` to records of a JSON text column."""
-    out = records.withColumn("_v", F.try_parse_json(F.col(f"`{json}`")))
+    """Adds ``schema_fingerprint``, ``layout`` and ``turns`` to records of a JSON text column, or of a struct column as
+    ``records_of_rows`` makes it."""
+    record, typed = F.col(f"`{json}`"), records.schema[json].dataType
+    fields = typed.names if isinstance(typed, StructType) else []
+    if fields:
+        # all turns have one type and no nulls, so an emptied one shows the field paths of the record
+        empty = {f: F.struct(*[F.lit("").alias(n) for n in typed[f].dataType.elementType.names]) for f in fields}
+        shown = [F.transform(F.slice(record[f], 1, 1), _always(empty[f])).alias(f) for f in fields]
+        parsed = F.try_parse_json(F.to_json(F.struct(*shown)))
+    else:
+        too_large = F.concat(F.lit("a record does not parse, maybe for its size: characters "), F.char_length(record).cast("string"))
+        parsed = F.coalesce(F.try_parse_json(record), F.when(F.char_length(record) > PARSED, F.raise_error(too_large)).cast("variant"))
+    out = records.withColumn("_v", parsed)
     out = out.withColumn("schema_fingerprint", fingerprint(field_paths(F.col("_v"))))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURN)
     text = lambda path: F.try_variant_get(F.col("_v"), path, "string")
@@ -122,8 +142,15 @@ def from_json(records: DataFrame, json: str = "record") -> DataFrame:
         here = F.col("schema_fingerprint") == fingerprint(F.lit("\n".join(sorted(known.paths))))
         if known.turns:
             where, role, body = known.turns
-            raw = F.try_variant_get(F.col("_v"), f"$.{where}", f"array<struct<`{role}`:string,`{body}`:string>>")
+            if where in fields and {role, body} <= set(typed[where].dataType.elementType.names):
+                raw = record[where]
+            elif fields:
+                continue
+            else:
+                raw = F.try_variant_get(F.col("_v"), f"$.{where}", f"array<struct<`{role}`:string,`{body}`:string>>")
             made = F.transform(raw, _turn_of(role, body))
+        elif fields:
+            continue
         else:
             made = F.array(*[
                 F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[F.nullif(text(f"$.{p}"), F.lit("")) for p in parts]).alias("text"))
@@ -135,7 +162,7 @@ def from_json(records: DataFrame, json: str = "record") -> DataFrame:
 
 
 def records_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Turn rows -> one JSON record ``{"turns": [{"role":, "text":}, ...]}`` a conversation."""
+    """Turn rows -> one record ``{"turns": [{"role":, "text":}, ...]}`` a conversation, as a struct."""
     # the schema names both fields in every turn, whatever is null
     one = F.struct(
         F.col(f"`{turn}`").alias("turn"),
@@ -145,9 +172,9 @@ def records_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return (
         rows.groupBy(F.col(f"`{conv}`").alias("conv_id"))
         .agg(F.array_sort(F.collect_list(one)).alias("t"))
-        .select("conv_id", F.to_json(F.struct(
+        .select("conv_id", F.struct(
             F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")
-        )).alias("record"))
+        ).alias("record"))
     )
 
 

@@ -171,6 +171,22 @@ def test_formatting_is_reversible(spark):
     assert empty.count() == 0
 
 
+def test_no_turn_is_too_long(spark):
+    n = 21_000_000
+    df = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("a"), n).alias("text"))
+    out = chat_format.read_back(chat_format.format_turns(chat_format.from_json(chat_format.records_of_rows(df))))
+    got = out.select("layout", F.size("turns"), F.size("read_turns"), F.char_length("loss_text"), F.char_length("formatted")).collect()
+    assert [tuple(r) for r in got] == [("turn_rows", 2, 2, n, 2 * n + len("### user: </turn>\n### assistant: </turn>\n"))]
+
+
+def test_a_given_record_too_large_to_parse_raises(spark):
+    text = F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("a"), F.col("id").cast("int")), F.lit('", "completion": "b"}'))
+    made = lambda n: chat_format.from_json(spark.range(n, n + 1).select(text.alias("record"))).select("layout", F.size("turns")).collect()
+    assert [tuple(r) for r in made(19_000_000)] == [("prompt", 2)]
+    with pytest.raises(Exception, match="does not parse"):
+        made(21_000_000)
+
+
 # mixing
 
 def test_targets(spark):
