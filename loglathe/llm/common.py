@@ -82,7 +82,10 @@ def empty_text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def bound_arrow(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches that go to Python: few rows and, where Spark knows that setting, few bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def bound_arrow(spark: SparkSession) -> None:
+    """Batches that go to Python: few rows and, where Spark knows that setting, few bytes.
+
+    They are settings of the session and hold when a query runs, so all operators set the same.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

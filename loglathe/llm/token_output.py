@@ -26,7 +26,7 @@ from .common import bound_arrow, empty_text, new_path, partitions
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, spaces: bool = True, id_col: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int]]:
     """Writes the files; returns (part, path, documents, tokens) of each in order, a row a file."""
     spark = docs.sparkSession
-    bound_arrow(spark, 4000)
+    bound_arrow(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), empty_text(text).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h", "t").select("id", "t")
