@@ -31,22 +31,26 @@ END = "</turn>\n"
 LEAD = "### "
 #: Characters of a JSON text that no limit of the parser stops: neither that of a string nor that of a variant.
 PARSED = 20_000_000
+#: Lengths summed in one run.
+RUN = 256
 
 
 @dataclass(frozen=True)
 class Layout:
     """``paths``: the field paths of a record.  Either ``turns`` (path of an array, with the names of its
-    role and text fields) or ``fixed`` ((role, paths joined by a blank line) in order)."""
+    role and text fields) or ``fixed`` ((role, paths joined by a blank line) in order).  ``aliases``: do other
+    names of roles become the canonical ones?"""
 
     name: str
     paths: tuple[str, ...]
     turns: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    aliases: bool = True
 
 
 #: The known layouts and the role names that mean the canonical roles.
 LAYOUTS = (
-    Layout("turn_rows", ("turns[].role", "turns[].text"), ("turns", "role", "text")),
+    Layout("turn_rows", ("turns[].role", "turns[].text"), ("turns", "role", "text"), aliases=False),
     Layout("messages", ("messages[].content", "messages[].role"), ("messages", "role", "content")),
     Layout("sharegpt", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
     Layout("prompt", ("completion", "prompt"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -113,8 +117,12 @@ def canonical_role(role: Column) -> Column:
     return F.coalesce(F.element_at(aliases, role), role, F.lit(""))
 
 
-def _turn_of(role: str, body: str) -> Callable[[Column], Column]:
-    return lambda t: F.struct(canonical_role(t[role]).alias("role"), F.coalesce(t[body], F.lit("")).alias("text"))
+def _turn_of(role: str, body: str, aliases: bool) -> Callable[[Column], Column]:
+    def turn(t: Column) -> Column:
+        name = canonical_role(t[role]) if aliases else F.coalesce(t[role], F.lit(""))
+        return F.struct(name.alias("role"), F.coalesce(t[body], F.lit("")).alias("text"))
+
+    return turn
 
 
 def _always(value: Column) -> Callable[[Column], Column]:
@@ -148,7 +156,7 @@ def from_json(records: DataFrame, json: str = "record") -> DataFrame:
                 continue
             else:
                 raw = F.try_variant_get(F.col("_v"), f"$.{where}", f"array<struct<`{role}`:string,`{body}`:string>>")
-            made = F.transform(raw, _turn_of(role, body))
+            made = F.transform(raw, _turn_of(role, body, known.aliases))
         elif fields:
             continue
         else:
@@ -193,6 +201,19 @@ def unescape(text: Column) -> Column:
     return out
 
 
+def running(lens: Column) -> Column:
+    """The sum of all lengths before each; in runs, since an array that grows by one is copied each time."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / RUN).cast("int")), lambda j: F.slice(lens, j * RUN + 1, RUN))
+
+    def sums(some: Column, first: Column) -> Column:
+        start = F.struct(first.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+        return F.aggregate(some, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
+
+    totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("bigint"), lambda acc, n: acc + n))
+    out = F.flatten(F.zip_with(runs, sums(totals, F.lit(0)), sums))
+    return F.when(F.size(lens) > 0, out).otherwise(F.array().cast("array<bigint>"))
+
+
 def format_turns(records: DataFrame) -> DataFrame:
     """Adds ``formatted`` and ``loss_spans``: (turn index, start, length) in code points of each assistant text, escaped."""
     def head(t: Column) -> Column:
@@ -207,13 +228,6 @@ def format_turns(records: DataFrame) -> DataFrame:
     out = records.withColumn("_pieces", pieces)
     out = out.withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
     lens = F.transform("_pieces", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.lit(len(END)))
-    # running starts in one pass over the lengths of a conversation
-    starts = F.aggregate(
-        lens,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")),
-        lambda acc: acc["all"],
-    )
     spans = F.transform(
         F.col("_pieces"),
         lambda p, i: F.struct(
@@ -221,24 +235,33 @@ def format_turns(records: DataFrame) -> DataFrame:
             (F.get(F.col("_starts"), i) + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).alias("length"),
         ),
     )
-    out = out.withColumn("_starts", starts)
+    out = out.withColumn("_starts", running(lens))
     return out.withColumn(
         "loss_spans", F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["turn"], s["start"], s["length"]))
     ).drop("_pieces", "_starts")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds ``read_turns`` and ``loss_text`` as parsed from ``formatted`` and ``loss_spans`` alone."""
-    segments = F.filter(F.split("formatted", END.replace("\n", r"\n"), -1), lambda s: s != "")
+    """Adds ``read_turns``, as parsed from ``formatted``, and ``loss_text``, what ``loss_spans`` marks in it, unescaped.
+
+    A span is cut out by its start and length; its turn only says where to look, and a span that is not inside
+    that turn raises an error.
+    """
+    whole = F.split("formatted", END.replace("\n", r"\n"), -1)
     parts = F.transform(
-        segments,
+        F.filter(whole, lambda s: s != ""),
         lambda s: F.struct(
             unescape(F.regexp_extract(s, r"(?s)^### ([^:]*): ", 1)).alias("role"),
             unescape(F.regexp_replace(s, r"(?s)^### [^:]*: ", "")).alias("text"),
         ),
     )
-    marked = F.transform("loss_spans", lambda p: p["turn"])
-    out = formatted.withColumn("read_turns", parts).withColumn("_marked", marked)
-    return out.withColumn(
-        "loss_text", F.array_join(F.transform("_marked", lambda i: F.get(F.col("read_turns"), i)["text"]), "")
-    ).drop("_marked")
+    out = formatted.withColumn("read_turns", parts).withColumn("_segments", whole)
+    out = out.withColumn("_starts", running(F.transform("_segments", lambda s: F.char_length(s) + F.lit(len(END)))))
+
+    def cut(span: Column) -> Column:
+        segment, at = F.get(F.col("_segments"), span["turn"]), span["start"] - F.get(F.col("_starts"), span["turn"])
+        inside = (at >= 0) & (span["length"] >= 0) & (at + span["length"] <= F.char_length(segment))
+        outside = F.raise_error(F.lit("a loss span that is not inside its turn")).cast("string")
+        return F.when(inside, unescape(F.substring(segment, (at + 1).cast("int"), span["length"].cast("int")))).otherwise(outside)
+
+    return out.withColumn("loss_text", F.array_join(F.transform("loss_spans", cut), "")).drop("_segments", "_starts")
