@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, unit
+from .common import BROADCAST_ROWS, Kept, unit
 
 #: Weights by the sources' code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -35,29 +35,46 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``rank``, their place by code point from 0, null last: ranges, and an offset for each."""
+    dealt = sources.withColumn("_null", F.col("source").isNull()).repartitionByRange("_null", "source").sortWithinPartitions("_null", "source")
+    placed = Kept(dealt.withColumn("_at", F.monotonically_increasing_id()), "mix-ranks").df
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.col("_base") + F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(F.broadcast(offsets), "_part").withColumn("rank", rank).drop("_part", "_at", "_base", "_null")
+
+
 def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``sources`` (source, source_size) with each source's target.
 
-    The table has one row a source.  Each round settles every source that the present level puts above
-    its cap, so there are at most as many rounds as sources, and usually two or three; only sums reach
-    the driver.
+    The level is where the sum of all targets, a concave function of it made of straight lines, meets the total.  Each round
+    follows the line at the present level, which never leads beyond, and halves what is left above; it ends when no more
+    sources reach their cap.  A round is one aggregate, and only sums reach the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    rows = sources.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap)
-    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
-    level, above = 0.0, None
-    while True:
-        free = rows.where(F.col("most") > F.lit(level) * F.col("weight")) if level else rows.where("most > 0")
-        got = free.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
-        held = rows.agg(F.sum("most").alias("m")).first()["m"] or 0.0
-        loose = free.agg(F.sum("most").alias("m")).first()["m"] or 0.0
-        if not got["w"] or got["n"] == above:
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = Kept(ranked(sources).withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap))).drop("rank"), "mix-weights").df
+    known = rows.agg(F.sum("source_size").alias("all"), F.sum("most").alias("most"), F.max(F.col("most") / F.col("weight")).alias("top")).first()
+    total, level, top = share * (known["all"] or 0), 0.0, known["top"] or 0.0
+    if total >= (known["most"] or 0):
+        level = top
+    held_before = None
+    while level < top:
+        middle, capped = (level + top) / 2, F.col("most") <= F.lit(level) * F.col("weight")
+        got = rows.where("most > 0").agg(
+            F.sum(F.when(~capped, F.col("weight"))).alias("w"), F.sum(F.when(capped, F.col("most"))).alias("held"), F.sum(F.when(capped, F.lit(1)).otherwise(0)).alias("n"),
+            F.sum(F.least(F.col("most"), F.lit(middle) * F.col("weight"))).alias("at_middle"),
+        ).first()
+        if not got["w"] or got["n"] == held_before:
             break
-        above = got["n"]
-        level = max(level, (total - (held - loose)) / got["w"])
-    return rows.withColumn("target", F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight")))
+        held_before = got["n"]
+        level = max(level, (total - (got["held"] or 0.0)) / got["w"])
+        if got["at_middle"] <= total:
+            level, held_before = max(level, middle), None
+        else:
+            top = min(top, middle)
+    return rows.withColumn("target", F.least(F.col("most"), F.lit(level) * F.col("weight")))
 
 
 def _fold(docs: Column, seed: int, level: int) -> Column:
@@ -90,17 +107,24 @@ def _fold(docs: Column, seed: int, level: int) -> Column:
     return F.aggregate(F.slice(docs, 2, FAN), start, step)
 
 
-def _level(rows: DataFrame, seed: int, level: int) -> Kept:
-    """rows (src, key, uid, size, p, n: rows of src) -> groups of at most FAN, folded."""
+def _grouped(rows: DataFrame, level: int) -> DataFrame:
+    """rows (src, key, uid, size, p, n: rows of src) -> (src, docs) of groups of at most FAN."""
     salt = F.pmod(F.xxhash64(F.lit(level), "key"), F.ceil(F.col("n") / SORTED)).cast("long")
     order = Window.partitionBy("src", "salt").orderBy("key", "uid")
-    grouped = (
-        rows.withColumn("salt", salt)
-        .withColumn("grp", F.floor((F.row_number().over(order) - 1) / FAN))
-        .groupBy("src", "salt", "grp")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "uid", "size", "p"))).alias("docs"))
-    )
-    return Kept(grouped.select("src", _fold(F.col("docs"), seed, level).alias("f")).select("src", "f.c", "f.d"), f"mix{level}")
+    # dealt by both, whatever came before: rows that lie by src alone would meet in one task
+    dealt = rows.withColumn("salt", salt).repartition("src", "salt").withColumn("grp", F.floor((F.row_number().over(order) - 1) / FAN))
+    return dealt.groupBy("src", "salt", "grp").agg(F.sort_array(F.collect_list(F.struct("key", "uid", "size", "p"))).alias("docs"))
+
+
+def _level(rows: DataFrame, seed: int, level: int) -> Kept:
+    """The groups folded: (src, c: the residual, d: the decided)."""
+    folded = _grouped(rows, level).select("src", _fold(F.col("docs"), seed, level).alias("f"))
+    return Kept(folded.select("src", "f.c", "f.d"), f"mix{level}")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A narrow written table, broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def round_copies(docs: DataFrame, seed: int = 20240229) -> DataFrame:
@@ -113,13 +137,12 @@ def round_copies(docs: DataFrame, seed: int = 20240229) -> DataFrame:
     )
     decided, level, rows = [], 0, frac
     while True:
-        counts = rows.groupBy("src").agg(F.count("*").alias("n"))
-        # one row a source, as large as the table of targets; no hint: Spark broadcasts it by its known size only
-        kept = _level(rows.join(counts, "src"), seed, level)
+        counts = Kept(rows.groupBy("src").agg(F.count("*").alias("n")), "mix-counts").df
+        kept = _level(rows.join(small(counts), "src"), seed, level)
         decided.append(kept.df.select(F.explode("d").alias("d")).select("d.uid", "d.one"))
         residual = kept.df.select("src", "c.key", "c.uid", "c.size", "c.p")
-        most = residual.groupBy("src").count().agg(F.max("count")).first()[0] or 0
-        if most <= 1:
+        # each source with rows has at least one residual, so as many rows as sources is one a source
+        if residual.count() <= counts.count():
             last = residual.select("uid", (unit(F.lit(seed), F.lit("last"), "key") < F.col("p")).alias("one"))
             break
         rows, level = residual.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)), level + 1
@@ -143,19 +166,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", share: floa
         F.xxhash64(*[F.col(f"`{c}`") for c in (*carry, text, source)]).alias("key"),
     )
     sized = Kept(sized, "mix-sizes").df
-    sources = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    sources = Kept(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), "mix-sources").df
     sources = Kept(targets(sources, share, cap), "mix-targets").df
     src = F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))
     named = sources.select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("src"), "source_size", "target"
     )
-    ready = sized.withColumn("src", src).join(named, "src").withColumn(
+    ready = sized.withColumn("src", src).join(small(named), "src").withColumn(
         "expect", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
     whole = F.floor(F.col("expect") + EPS)
     extra = round_copies(ready.select("uid", "key", "src", F.col("_size").alias("size"), F.greatest(F.col("expect"), F.lit(0.0)).alias("expect")))
     copies = F.when(F.col("_size") > 0, whole + F.coalesce("extra", F.lit(0))).otherwise(0)
-    plan = ready.join(extra, "uid", "left").select(
+    # rows of unknown width: shuffled by the unique uid at any size, so that small and large inputs behave alike
+    plan = ready.join(extra.hint("merge"), "uid", "left").select(
         *[F.col(f"`{c}`") for c in carry], F.col("_source").alias("_src"), F.col("_size").alias("size"),
         "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -171,6 +172,31 @@ def test_formatting_is_reversible(spark):
     assert empty.count() == 0
 
 
+def test_running(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "RUN", 3)
+    lists = [list(range(1, n + 1)) for n in range(12)]
+    got = spark.createDataFrame([(x,) for x in lists], "x array<int>").select("x", chat_format.running(F.col("x")).alias("s")).collect()
+    assert all(r["s"] == [sum(r["x"][:k]) for k in range(len(r["x"]))] for r in got)
+
+
+def test_loss_is_read_through_the_mask(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} of # many") for t in range(700)]
+    made = chat_format.format_turns(chat_format.from_json(chat_format.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    loss = lambda spans: chat_format.read_back(made.withColumn("loss_spans", F.transform("loss_spans", spans))).first()["loss_text"]
+    span = lambda move, less: lambda s: F.struct(s["turn"].alias("turn"), (s["start"] + move).alias("start"), (s["length"] - less).alias("length"))
+    own = [f"text {t} of # many" for t in range(1, 700, 2)]
+    assert loss(span(0, 0)) == "".join(own)
+    assert loss(span(1, 1)) == "".join(x[1:] for x in own) and loss(span(0, 2)) == "".join(x[:-2] for x in own)
+    with pytest.raises(Exception, match="not inside its turn"):
+        loss(lambda s: F.struct(s["turn"].alias("turn"), F.lit(0).cast("bigint").alias("start"), s["length"].alias("length")))
+
+
+def test_roles_of_rows_stay(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "assistant", "c")]
+    out = chat_format.read_back(chat_format.format_turns(chat_format.from_json(chat_format.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).first()
+    assert [t["role"] for t in out["read_turns"]] == ["human", "gpt", "assistant"] and out["loss_text"] == "c"
+
+
 def test_no_turn_is_too_long(spark):
     n = 21_000_000
     df = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("a"), n).alias("text"))
@@ -237,6 +263,28 @@ def test_mix(spark, monkeypatch):
     assert mixing.mix(df.limit(0))[0].count() == 0
 
 
+def test_a_hot_source_is_dealt_by_salt(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("s"), (F.col("id") % 1).cast("string")).alias("src"), F.col("id").alias("key"), F.col("id").alias("uid"), F.lit(3).cast("long").alias("size"), F.lit(0.3).alias("p"))
+    joined = rows.join(spark.createDataFrame([("s0", 30_000)], "src string, n long").hint("merge"), "src")
+    text = mixing._grouped(joined, 0)._jdf.queryExecution().executedPlan().toString()
+    below = text[text.index("Window") :]
+    assert re.search(r"hashpartitioning\(src#\d+, salt#", below) and below.index("salt#") < below.index("SortMergeJoin")
+    kept = mixing._level(joined, 1, 0)
+    assert kept.df.count() > 3000 / mixing.FAN and kept.df.select(F.sum(F.size("d") + 1)).first()[0] == 3000
+
+
+def test_many_sources(spark):
+    r = random.Random(5)
+    sizes = {f"h{i}": int(r.paretovariate(0.5)) for i in range(400)}
+    got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sorted(sizes))}
+    low, high = 0.0, 4.0 * sum(sizes.values())
+    for _ in range(300):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], level * weight[s]) for s in sizes) < 1.5 * sum(sizes.values()) else (low, level)
+    assert all(abs(got[s] - min(2 * sizes[s], low * weight[s])) < 1e-6 * max(1, got[s]) for s in sizes)
+
+
 def test_rounding_is_fair(spark):
     df = spark.range(64).select(F.lit("s").alias("src"), F.col("id").alias("uid"), F.xxhash64("id").alias("key"), (F.col("id") + 1).alias("size"), F.lit(0.3).alias("expect"))
     hits = Counter()
