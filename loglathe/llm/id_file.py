@@ -9,8 +9,8 @@ Integers are little-endian.
 * The width is the bit length at one of ``PERCENTILES`` of the block's values, whichever makes the block
   smallest.
 * Document table: i64 ids, u8 marks of null ids, i64 numbers of tokens, one each a document.
-* Index: u64 start of each block.  Footer: u64 documents, u64 tokens, u64 blocks, u64 start of the table,
-  u32 CRC-32 of table and index, ``LLID``.
+* Index: u64 start of each block, then u32 CRC-32 of each.  Footer: u64 documents, u64 tokens, u64 blocks, u64 start of
+  the table, u32 CRC-32 of table and index, ``LLID``.
 """
 
 from __future__ import annotations
@@ -110,6 +110,7 @@ class Writer:
     def __init__(self, out):
         self.out, self.at = out, 0
         self.starts: list[int] = []
+        self.crcs: list[int] = []
         self.docs: list[int] = []
         self.nulls: list[bool] = []
         self.lens: list[int] = []
@@ -127,6 +128,7 @@ class Writer:
         for at in range(0, end, step):
             for raw in encode_blocks(ids[at : min(end, at + step)]):
                 self.starts.append(self.at)
+                self.crcs.append(zlib.crc32(raw))
                 self._put(raw)
         self.parts = [ids[end:]]
         self.waiting = len(ids) - end
@@ -145,7 +147,7 @@ class Writer:
         self._flush(True)
         start = self.at
         table = np.array(self.docs, "<i8").tobytes() + np.array(self.nulls, np.uint8).tobytes() + np.array(self.lens, "<i8").tobytes()
-        index = np.array(self.starts, "<u8").tobytes()
+        index = np.array(self.starts, "<u8").tobytes() + np.array(self.crcs, "<u4").tobytes()
         self._put(table + index)
         self._put(FOOT.pack(len(self.docs), self.tokens, len(self.starts), start, zlib.crc32(table + index), END))
 
@@ -170,6 +172,7 @@ class Reader:
         self.nulls = np.frombuffer(raw, np.uint8, n, 8 * n)
         self.lens = np.frombuffer(raw, "<i8", n, 9 * n)
         self.starts = np.append(np.frombuffer(raw, "<u8", blocks, 17 * n).astype(np.int64), self.table)
+        self.crcs = np.frombuffer(raw, "<u4", blocks, 17 * n + 8 * blocks)
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """Ids first ... last - 1 of the file: only their blocks are read."""
@@ -179,14 +182,20 @@ class Reader:
         base = int(self.starts[a])
         self.file.seek(base)
         raw = self.file.read(int(self.starts[b]) - base)
-        got = decode_blocks(raw, (self.starts[a:b] - base).tolist())
+        cuts = (self.starts[a : b + 1] - base).tolist()
+        if any(zlib.crc32(raw[x:y]) != crc for x, y, crc in zip(cuts, cuts[1:], self.crcs[a:b].tolist(), strict=False)):
+            raise ValueError("damaged block of a token-id file")
+        got = decode_blocks(raw, cuts[:-1])
         return got[first - a * BLOCK : last - a * BLOCK]
 
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc id, its first id's place in the file, ids) of every document, read some blocks at a time."""
-        step, at = TOGETHER * BLOCK, 0
-        held, base = np.empty(0, np.uint32), 0
-        for doc, null, n in zip(self.docs.tolist(), self.nulls.tolist(), self.lens.tolist(), strict=True):
+    def documents(self, low: int = 0, high: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc id, its first id's place in the file, ids) of every document that begins at one of the places low ... high - 1
+        (all by default), read some blocks at a time."""
+        begins = np.cumsum(self.lens) - self.lens
+        some = slice(*np.searchsorted(begins, [low, self.tokens + 1 if high is None else high]))
+        step, at = TOGETHER * BLOCK, int(begins[some][0]) if len(begins[some]) else 0
+        held, base = np.empty(0, np.uint32), at
+        for doc, null, n in zip(self.docs[some].tolist(), self.nulls[some].tolist(), self.lens[some].tolist(), strict=True):
             parts = []
             need, here = n, at
             while need:

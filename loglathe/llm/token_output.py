@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import bound_arrow, empty_text, new_path, partitions
 
+#: Bytes of text a file aims at, where that makes more files than Spark makes shuffle partitions; ids that one task reads back.
+FILE_BYTES, READ_IDS, READ_DOCS = 256 << 20, 16 << 20, 4000
+
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, spaces: bool = True, id_col: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int]]:
     """Writes the files; returns (part, path, documents, tokens) of each in order, a row a file."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), empty_text(text).alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), empty_text(F.col(f"`{text}`")).alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t").cast("bigint"))).first()[0] or 0
     rows = rows.withColumn("h", F.xxhash64("t"))
-    rows = rows.repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h", "t").select("id", "t")
+    rows = rows.repartitionByRange(max(partitions(spark), -(-size // FILE_BYTES)), "id", "h").sortWithinPartitions("id", "h", "t").select("id", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -69,8 +74,11 @@ def read_documents(spark, folder: str, files: list[tuple[int, str, int, int]]) -
     """One row a document from the files alone: doc_id, start, n_tokens, ids_crc32 over the ids as read."""
     if not files:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    starts = np.concatenate([[0], np.cumsum([f[3] for f in files])]).tolist()
-    known = spark.sparkContext.broadcast([(f[1], s) for f, s in zip(files, starts[:-1], strict=True)])  # a row a file
+    pieces, base = [], 0
+    for _, path, _, tokens in files:
+        pieces += [(path, base, low, low + READ_IDS) for low in range(0, tokens, READ_IDS)]
+        base += tokens
+    known = spark.sparkContext.broadcast(pieces)  # one for READ_IDS ids and a file at most
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -80,18 +88,16 @@ def read_documents(spark, folder: str, files: list[tuple[int, str, int, int]]) -
         store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                path, base = known.value[k]
+                path, base, low, high = known.value[k]
                 with store.open_input_file(path) as file:
-                    out = [
-                        (doc, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
-                        for doc, at, ids in Reader(file).documents()
-                    ]
-                cols = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
-
-    n = len(files)
+                    found = Reader(file).documents(low, high)
+                    told = ((doc, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, at, ids in found)
+                    while out := list(islice(told, READ_DOCS)):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                        )
+
+    n = len(pieces)
     return spark.range(0, n, 1, n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -50,7 +50,25 @@ def test_damage_is_found():
         id_file.Reader(io.BytesIO(b"other" + bytes(raw)))
 
 
-def test_query(spark):
+def test_damaged_blocks_are_found_and_parts_are_read_alone():
+    out = io.BytesIO()
+    writer = id_file.Writer(out)
+    docs = [(i, np.arange(i * 37, dtype=np.uint32)) for i in range(1, 200)]
+    for d, ids in docs:
+        writer.add(d, ids)
+    writer.finish()
+    tokens_n = sum(len(x) for _, x in docs)
+    for step in (1, 5000, 100_000, tokens_n):
+        got = [d for low in range(0, tokens_n, step * 700 if step == 1 else step) for d in id_file.Reader(out).documents(low, low + (700 if step == 1 else step))]
+        assert [(d, x.tolist()) for d, _, x in got] == [(d, x.tolist()) for d, x in docs]
+    raw = bytearray(out.getvalue())
+    raw[len(raw) // 3] ^= 1
+    with pytest.raises(ValueError, match="damaged block"):
+        list(id_file.Reader(io.BytesIO(bytes(raw))).documents())
+
+
+def test_query(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "FILE_BYTES", 20_000)
     path = queries.tokenizer("byte_bpe_50k.json")
     rows = [(i * 7 % 101, f"Text {i}, with words.\nAnd  more " * (i % 5)) for i in range(101)] + [(200, None), (None, "none"), (5, "twice"), (5, "twice"), (300, "long word " * 9000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
