@@ -73,6 +73,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(carry: tuple[str, ...]) -> Column:
+    """The carried columns as one struct, so that no name of theirs clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+
+
+def unpacked(carry: tuple[str, ...], results: tuple[str, ...], row: str = "row") -> list[Column]:
+    """The carried columns, but for those that results of the same name replace, then the results."""
+    return [*(F.col(row).getField(c).alias(c) for c in carry if c not in results), *(F.col(c) for c in results)]
+
+
 def unit(*cols: Column) -> Column:
     """A uniform number in [0, 1) from the hash of cols."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

@@ -6,7 +6,8 @@ hexadecimal digits.  Where texts with equal hashes are not equal byte for byte,
 are numbered in byte order and ``-<number>`` is added from the second on.
 
 Defined results: a null text counts as empty; equal rows have equal fingerprints; an empty table gives an
-empty result; null ids are the smallest.  Columns besides the named ones are ignored.
+empty result; null ids are the smallest.  Columns besides the named ones are ignored; a carried
+column named fingerprint gives way to the result.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Kept, empty_text
+from .common import BROADCAST_ROWS, Kept, empty_text, packed, unpacked
 
 #: Rows a range bucket aims at, and the most buckets that quantiles of ids are asked for.
 BUCKET_ROWS, BUCKETS = 4096, 20_000
@@ -35,14 +36,14 @@ def digest(canon: Column, mask: int = -1) -> Column:
 def collisions(docs: DataFrame, hashed: DataFrame, text: str, mask: int = -1) -> DataFrame:
     """(hash, canon, ordinal) of the hash buckets in which canonical bytes differ.
 
-    ``hashed`` has the column ``hash``, one row a document.  Buckets of one document need no comparison.  The
+    ``hashed``, a written table, has the column ``hash``, one row a document.  Buckets of one document need no comparison.  The
     texts of the others are grouped by their own bytes, which partial aggregation collapses in each task
     before anything is shuffled, so a bucket of very many copies is no hot key.
     """
     shared = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         shared = F.broadcast(shared)
-    canon = canonical(empty_text(text))
+    canon = canonical(empty_text(F.col(f"`{text}`")))
     texts = docs.select(canon.alias("canon")).withColumn("hash", digest(F.col("canon"), mask))
     distinct = texts.join(shared, "hash", "left_semi").groupBy("hash", "canon").agg(F.count("*").alias("n"))
     ordered = Window.partitionBy("hash").orderBy("canon")
@@ -59,13 +60,13 @@ def tell_apart(hashed: Column, ordinal: Column) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), mask: int = -1) -> DataFrame:
     """``carry`` columns and ``fingerprint`` of every row."""
-    base = docs.select(*[F.col(f"`{c}`") for c in carry], canonical(empty_text(text)).alias("canon"))
+    base = docs.select(packed(carry).alias("row"), canonical(empty_text(F.col(f"`{text}`"))).alias("canon"))
     base = base.withColumn("hash", digest(F.col("canon"), mask))
-    clash = Kept(collisions(docs, base.select("hash"), text, mask), "clash")
+    clash = Kept(collisions(docs, Kept(base.select("hash"), "hashes").df, text, mask), "clash")
     if clash.df.isEmpty():
-        return base.select(*carry, F.col("hash").alias("fingerprint"))
+        return base.select("row", F.col("hash").alias("fingerprint")).select(*unpacked(carry, ("fingerprint",)))
     out = base.join(clash.df, ["hash", "canon"], "left")
-    return out.select(*carry, tell_apart(F.col("hash"), F.col("ordinal")).alias("fingerprint"))
+    return out.select("row", tell_apart(F.col("hash"), F.col("ordinal")).alias("fingerprint")).select(*unpacked(carry, ("fingerprint",)))
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
@@ -120,7 +121,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Fingerprints of each text and of its edited text (see ``with_next`` for the next document's)."""
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), empty_text(text).alias("t"))
     hashed = base.withColumn("h", digest(canonical(F.col("t")), mask))
-    clash = Kept(collisions(docs, hashed.select(F.col("h").alias("hash")), text, mask), "clash")
+    clash = Kept(collisions(docs, Kept(hashed.select(F.col("h").alias("hash")), "hashes").df, text, mask), "clash")
     rows = with_next(hashed, "doc_id", ("t", "h"))
     n = F.char_length("t")
     cut = F.floor(n / 2).cast("int")

@@ -10,7 +10,7 @@ The classifier is fitted on pages that ``training_page`` makes up: ``TRAINING_PA
 words with known article elements, of a fixed seed.
 
 Defined results: a null or empty page gives the empty text; equal rows give equal texts; an empty table an
-empty result; broken markup is read as browsers do, roughly; other columns pass by ``carry`` only.
+empty result; broken markup is read as browsers do, roughly; other columns pass by ``carry`` only, and one named text gives way to the result.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .boosting import Boosted
-from .common import bound_arrow, empty_text
+from .common import bound_arrow, empty_text, packed, unpacked
 from .dom import Pages
 
 TRAINING_PAGES = 1200
@@ -227,15 +228,14 @@ def main_text(df: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page
     spark = df.sparkSession
     bound_arrow(spark)
     shared = spark.sparkContext.broadcast(model())  # of fixed size
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], empty_text(html).alias("_html"))
-    schema = rows.select(*[F.col(f"`{c}`") for c in carry]).schema
+    rows = df.select(packed(carry).alias("row"), empty_text(F.col(f"`{html}`")).alias("html"))
+    schema = StructType([rows.schema["row"], StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = extract(part.column("_html").to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(texts, pa.string())], names=[*carry, "text"])
+                texts = extract(part.column("html").to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
-    return rows.mapInArrow(run, f"{fields}text string")
+    return rows.mapInArrow(run, schema).select(*unpacked(carry, ("text",)))

@@ -37,7 +37,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Kept, bound_arrow
+from .common import BROADCAST_ROWS, Kept, bound_arrow, packed, unpacked
 from .components import components
 
 #: The sketch has about a counter (one byte: a level) for every BYTES_EACH bytes of text, so that it tells
@@ -447,12 +447,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     same = (F.col("o.root") == F.col("k.root")) & F.col("o.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("o.tid") == F.col("k.tid"))
     gone = Kept(own.alias("o").join(best.alias("k"), same, "left_anti").select("doc_id", "tid").distinct(), "gone")
     lost = F.broadcast(gone.df) if gone.df.count() <= BROADCAST_ROWS else gone.df
-    keyed = docs.withColumn("_tid", F.xxhash64(F.col(f"`{text}`")))
-    match = F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.doc_id")) & (F.col("d._tid") == F.col("g.tid"))
+    keyed = docs.select(packed(tuple(docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tid"))
+    match = F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.tid") == F.col("g.tid"))
     left = keyed.alias("d").join(lost.alias("g"), match, "left_anti")
     repeated = own.groupBy("doc_id", "tid").count().where("count > 1").select("doc_id", "tid")
     if not repeated.isEmpty():
-        is_repeated = F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.doc_id")) & (F.col("d._tid") == F.col("g.tid"))
-        twice = left.alias("d").join(repeated.alias("g"), is_repeated, "left_semi").dropDuplicates([id_col, "_tid"])
-        left = left.alias("d").join(repeated.alias("g"), is_repeated, "left_anti").unionByName(twice)
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        twice = left.alias("d").join(repeated.alias("g"), match, "left_semi").dropDuplicates(["id", "tid"])
+        left = left.alias("d").join(repeated.alias("g"), match, "left_anti").unionByName(twice)
+    return left.select(*unpacked(tuple(docs.columns), ()))

@@ -7,7 +7,8 @@ corpus.  The driver plans on it:
    rounded up to its longest (linear grouping).
 2. The few sizes are packed by a linear programme over configurations (column generation; pricing is
    an unbounded knapsack), rounded down.
-3. The groups' actual documents take the places of the rounded ones.
+3. The groups' actual documents take the places of the rounded ones, in configurations that do not leave too
+   much room by that.
 4. What is left, large remainders first, then the small lengths in descending order, goes where it fits
    best: to the open sequence with the least room that is enough.
 
@@ -18,7 +19,7 @@ placement by binary search.
 
 Defined results: a null text is empty and one token (the end id) long; equal rows are packed each for
 itself; null ids are kept; an empty table gives an empty result; columns besides the carried ones are
-ignored.
+ignored, and carried ones of the names of results give way to these.
 """
 
 from __future__ import annotations
@@ -31,23 +32,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, Kept, bound_arrow, empty_text
+from .common import BROADCAST_ROWS, Kept, bound_arrow, empty_text, packed, unpacked
 
 CAPACITY = 4096
 #: A length is large above capacity / LARGE; rows ranked together.
 LARGE, RANKED = 8, 50_000
-#: Numbers of groups tried in turn; 0 leaves all to step 4.  The plan of fewest sequences is taken, the first
-#: that comes within NEAR of the least that all tokens need ends the search.
-GROUPS, NEAR = (16, 48, 96, 0), 1.0005
-PIECES = "piece int, start long, length long, ids_crc32 long"
+#: Numbers of groups, with the part of a sequence that a configuration may leave, tried in turn.  The plan of fewest
+#: sequences is taken; one with the least that all tokens need ends the search.
+ATTEMPTS = ((16, 1.0), (48, 1.0), (96, 1.0), (16, 1 / 64), (16, 1 / 128), (48, 1 / 128))
+PIECES = StructType([StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32"))])
+PLACES = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
 
 def tokenized_pieces(docs: DataFrame, carry: tuple[str, ...], tokenizer: str, spaces: bool, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
-    """``carry`` columns and the pieces of each document: whole up to capacity, else cut every capacity ids."""
+    """``row`` (a struct of the ``carry`` columns) and the pieces of each document: whole up to capacity, else cut every capacity ids."""
     bound_arrow(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], empty_text(text).alias("_text"))
-    schema = rows.select(*[F.col(f"`{c}`") for c in carry]).schema
+    rows = docs.select(packed(carry).alias("row"), empty_text(F.col(f"`{text}`")).alias("text"))
+    schema = StructType([rows.schema["row"], *PIECES])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import batches as runs
@@ -55,7 +58,7 @@ def tokenized_pieces(docs: DataFrame, carry: tuple[str, ...], tokenizer: str, sp
 
         enc = encoder(tokenizer, spaces)
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column("text")
             for first, last in runs(texts):
                 ids, lens = enc.encode(texts.slice(first, last - first))
                 out: list[tuple[int, int, int, int, int]] = []
@@ -67,15 +70,13 @@ def tokenized_pieces(docs: DataFrame, carry: tuple[str, ...], tokenizer: str, sp
                         part = own[start : start + capacity]
                         out.append((first + i, p, start, len(part), zlib.crc32(part.tobytes())))
                 row, *cols = (np.array(c) for c in zip(*out, strict=True))
-                held = batch.select(list(carry)).take(pa.array(row))
+                held = batch.column("row").take(pa.array(row))
                 types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*held.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
-                    names=[*carry, "piece", "start", "length", "ids_crc32"],
+                    [held, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row", "piece", "start", "length", "ids_crc32"],
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.mapInArrow(cut, f"{fields}, {PIECES}")
+    return rows.mapInArrow(cut, schema)
 
 
 class _Open:
@@ -144,7 +145,18 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
     return [(basis[:, j].astype(int).tolist(), max(0.0, float(times[j]))) for j in range(k)]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[0]) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def _first(queue: list[list[int]], want: int) -> int:
+    """The lengths of the first ``want`` documents of a group together."""
+    total = 0
+    for x, n in queue:
+        total += x * min(n, want)
+        want -= min(n, want)
+        if not want:
+            break
+    return total
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = ATTEMPTS[0][0], loose: float = 1.0) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Placements (length, first rank, sequences, per sequence, first sequence, offset), and the number of sequences."""
     placed: list[tuple[int, int, int, int, int, int]] = []
     rank = dict.fromkeys(histogram, 0)
@@ -156,7 +168,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
 
     large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if capacity / LARGE < x < capacity]
     total = sum(n for _, n in large)
-    if groups and total >= 4 * groups:
+    if groups and total:  # without groups: plain best fit, to compare with
         # group g: its part of each length, longest first
         parts: list[list[list[int]]] = [[]]
         each, held = -(-total // groups), 0
@@ -187,6 +199,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                     run, need = 1, {s: slots.count(s) for s in set(slots)}
                     if any(sum(n for _, n in merged[s]) < m for s, m in need.items()):
                         break
+                if capacity - sum(_first(merged[s], slots.count(s) * run) for s in dict.fromkeys(slots)) / run > loose * capacity:
+                    break
                 offset = 0
                 for s in dict.fromkeys(slots):
                     want = slots.count(s) * run
@@ -226,24 +240,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return placed, n_seq
 
 
-def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, attempts: tuple[tuple[int, float], ...] = ATTEMPTS) -> list[tuple[int, int, int, int, int, int]]:
     least = -(-sum(x * n for x, n in histogram.items()) // capacity)
     best, fewest = [], None
-    for k in groups:
-        placed, n = plan(histogram, capacity, k)
+    for groups, loose in attempts:
+        placed, n = plan(histogram, capacity, groups, loose)
         if fewest is None or n < fewest:
             best, fewest = placed, n
-        if fewest <= least * NEAR:
+        if fewest <= least:
             break
     return best
 
 
-def pack(pieces: DataFrame, order: tuple[str, ...], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, order: tuple[str, ...], capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (a materialised table with ``length``) with sequence_id and offset; ``order`` makes ranks repeatable."""
     spark = pieces.sparkSession
     counted = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
     histogram = {r["length"]: r["n"] for r in counted}
-    placed = sorted(best_plan(histogram, capacity, groups))
+    placed = sorted(best_plan(histogram, capacity))
     table = np.array(placed, np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(table)  # at most some placements a length
 
@@ -274,11 +288,10 @@ def pack(pieces: DataFrame, order: tuple[str, ...], capacity: int = CAPACITY, gr
                 [*(batch.column(c) for c in names), pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*[f"`{c}`" for c in names], "_rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.select(*names, "_rank").mapInArrow(place, StructType([*pieces.schema, *PLACES]))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, spaces: bool = False, carry: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
     """Tokenizes once (the pieces, a few bytes each, are written to the shared folder) and packs."""
     pieces = Kept(tokenized_pieces(docs, carry, tokenizer, spaces, end_id, capacity), "pieces").df
-    return pack(pieces, (*carry, "piece"), capacity)
+    return pack(pieces, ("row", "piece"), capacity).select(*unpacked(carry, (*PIECES.names, *PLACES.names)))

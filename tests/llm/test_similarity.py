@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import zstandard
 
 from loglathe.llm import embedding_dedup, language_id, ngram_join, queries, shingles
 from loglathe.llm.components import components
@@ -197,6 +199,28 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_is_the_smallest_size(spark):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(900_000, "x" * 20_000 + " le chat", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    known = language_id.fit(df)
+    sizes_of = {}
+    for doc, text, _ in docs:
+        raw = regex.sub(r"[^\p{L}]+", " ", text.lower()).strip(" ").encode()
+        sizes = {}
+        for lang, words in known.items():
+            sizes[lang] = 0
+            for k in range(0, len(raw), 4096):
+                told = zstandard.ZstdCompressionParameters.from_level(3, min_match=3, write_content_size=0, write_dict_id=0)
+                dictionary = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes[lang] += len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=told).compress(raw[k : k + 4096]))
+        sizes_of[doc] = sizes if raw else {}
+    for r in language_id.predict(df, known).collect():
+        sizes = sizes_of[r["doc_id"]]
+        first, second = sorted(sizes.values())[:2] if sizes else (0, 0)
+        assert sizes.get(r["lang_pred"], 0) == first
+        assert r["rejected"] == (not sizes or second == first or second - first < 0.2 * first**0.5)
+
+
 def test_language_edges(spark):
     rows = [(i, "the cat sat on the mat and then it slept " * 3 if i % 2 else "le chat est sur la table et puis il dort " * 3, "en" if i % 2 else "fr") for i in range(40)]
     train = spark.createDataFrame(rows + [(None, "x y z", "zz"), (99, None, "en"), (98, "abc", None)], "doc_id long, text string, lang string")
