@@ -8,6 +8,10 @@ return the columns of docs, which the next stage gets as reread from Parquet.
 * ``mixing`` returns every document as often as its source's target says: not at all, once or twice.
 * ``best_fit_packing`` returns the pieces of all documents with their places in sequences.
 
+Defined results: columns besides doc_id, text, lang and source pass through every stage but the last as they are,
+whatever their names; for nulls, empty and long texts, ties and repeated rows each operator's docstring holds; an
+empty table passes every stage as an empty one.
+
 SQL can express none of them whole (compression, rounding by hashes, tokenizers): ``ORACLE_SQL`` is None and
 the stages are tested against brute force.
 """
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import language_id, mixing, ngram_join, packing
-from loglathe.llm.common import Kept, table
+from loglathe.llm.common import Kept, packed, table, unpacked
 from loglathe.llm.queries import tokenizer
 
 ORACLE_SQL = None
@@ -26,8 +30,9 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    judged = language_id.predict(docs, known, carry=tuple(docs.columns))
-    return judged.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(packed(tuple(docs.columns)).alias("row"), "text")
+    judged = language_id.predict(rows, known, carry=("row",))
+    return judged.where(~F.col("rejected")).select(*unpacked(tuple(docs.columns), ()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
