@@ -42,12 +42,20 @@ def assign_sequence(df: DataFrame, order: str, ties: tuple[str, ...] = (), name:
     return numbered.withColumn(name, F.col("_k") + F.col("_base")).drop("_range", "_k", "_base")
 
 
-def assign_batches(df: DataFrame, rows: int, sequence: str = "sequence", producer: str | None = None) -> DataFrame:
+def assign_batches(df: DataFrame, rows: int, sequence: str = "sequence", producer: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``batch_id``: every producer's rows in sequence order, ``rows`` to a batch.
 
     Without producers a gapless 1-based sequence already says the batch, and nothing is shuffled.
     """
     if producer is None:
         return df.withColumn("batch_id", F.floor((F.col(sequence) - 1) / rows).cast("bigint"))
-    own = Window.partitionBy(producer).orderBy(sequence)
-    return df.withColumn("batch_id", F.floor((F.row_number().over(own) - 1) / rows).cast("bigint"))
+    # a producer of very many rows is numbered in ranges of the sequence, with an offset for each
+    keyed = df.withColumn("_range", range_of(F.col(sequence), range_bounds(df, F.col(sequence), range_rows)))
+    counts = keyed.groupBy(producer, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(producer).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(producer).alias("_producer"), F.col("_range").alias("_own"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy(producer, "_range").orderBy(sequence)
+    same = F.col(producer).eqNullSafe(F.col("_producer")) & (F.col("_range") == F.col("_own"))
+    numbered = keyed.withColumn("_k", F.row_number().over(own)).join(offsets, same)
+    batch = F.floor((F.col("_base") + F.col("_k") - 1) / rows).cast("bigint")
+    return numbered.withColumn("batch_id", batch).drop("_range", "_k", "_base", "_producer", "_own")

@@ -27,15 +27,16 @@ def lines(events: DataFrame, epoch: str = "1601") -> DataFrame:
 def text_export(decoded: DataFrame, headers: bool = True) -> DataFrame:
     """Lines (value) in the order of file, block and place; good blocks begin with a header, bad ones are a marker.
 
-    ``decoded`` is what the block source yields: a corrupt block is one row with a ``corrupt_reason``.
+    ``decoded`` is what the block source yields: a corrupt block is one row with a ``corrupt_reason``.  Headers and
+    markers begin with a line feed, so an empty line stands before them.
     """
     bad = F.col("corrupt_reason").isNotNull()
-    block = F.col("block").cast("string")
-    body = lines(decoded).select("file", "block", "pos", F.when(bad, F.concat(F.lit("=== BLOCK "), block, F.lit(" FAILED ==="))).otherwise(F.col("line")).alias("value"))
+    block = F.concat(F.lit("\n=== BLOCK "), F.col("block").cast("string"))
+    body = lines(decoded).select("file", "block", "pos", F.when(bad, F.concat(block, F.lit(" FAILED ==="))).otherwise(F.col("line")).alias("value"))
     if not headers:
         return body.orderBy("file", "block", "pos").select("value")
     sizes = decoded.where(~bad).groupBy("file", "block").agg(F.count("*").alias("n"))
-    heads = sizes.select("file", "block", F.lit(-1).cast("bigint").alias("pos"), F.concat(F.lit("=== BLOCK "), block, F.lit(" === ("), F.col("n").cast("string"), F.lit(" entries)")).alias("value"))
+    heads = sizes.select("file", "block", F.lit(-1).cast("bigint").alias("pos"), F.concat(block, F.lit(" === ("), F.col("n").cast("string"), F.lit(" entries)")).alias("value"))
     return body.unionByName(heads).orderBy("file", "block", "pos").select("value")
 
 

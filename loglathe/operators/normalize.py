@@ -13,11 +13,11 @@ from ..schema import Config
 def normalize(raw: DataFrame, config: Config | None = None) -> DataFrame:
     """Normalised resource, masked endpoint, narrowed code; works on batch and streaming DataFrames alike.
 
-    A ``sequence`` column is passed through where there is one.
+    A ``sequence`` column is passed through where there is one; it is 0 where the configuration has no sequence.
     """
     c = config or Config()
     return raw.select(
-        *([F.col("sequence").cast("bigint").alias("sequence")] if "sequence" in raw.columns else []),
+        *([(F.col("sequence") if c.sequence else F.lit(0)).cast("bigint").alias("sequence")] if "sequence" in raw.columns or not c.sequence else []),
         F.col("timestamp_us").cast("bigint").alias("timestamp_us"),
         normalize_resource(F.col("resource"), c.strip_params).alias("resource"),
         anon_ip(F.col("endpoint"), c.level, c.strict_cidr, c.collapse_mask).alias("endpoint"),

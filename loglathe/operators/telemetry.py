@@ -12,8 +12,9 @@ def telemetry(batched: DataFrame, blocks: DataFrame | None = None, seconds: floa
     """One row of counters over events with ``batch_id``, ``resource`` and ``endpoint``.
 
     Dictionary hits are rows less distinct values of their batch.  ``blocks`` (raw_bytes, stored_bytes) adds the
-    mean of the blocks' ratios, cut to four digits each; ``seconds`` the throughput in millions.  What Spark
-    never does (refuse rows, lose batches) is 0.
+    mean of the blocks' ratios, cut to four digits each, and the counts of what was compressed and written; with a
+    column ``file`` also how often a file was closed for the next.  ``seconds`` adds the throughput in millions.  What
+    Spark never does (refuse rows, lose batches, wait in a queue of its own) is 0.
     """
     per = dictionary.counts(batched)
     out = per.agg(
@@ -27,10 +28,17 @@ def telemetry(batched: DataFrame, blocks: DataFrame | None = None, seconds: floa
     share = lambda c: F.round(F.when(F.col("log_processed_total") > 0, 100 * F.col(c) / F.col("log_processed_total")).otherwise(0.0), 4)
     out = out.withColumns({
         "hit_pct_resource": share("dictionary_hits_resource"), "hit_pct_endpoint": share("dictionary_hits_endpoint"),
-        "lost_logs_total": F.lit(0).cast("bigint"), "log_refused_total": F.lit(0).cast("bigint"),
+        **{c: F.lit(0).cast("bigint") for c in ("lost_logs_total", "log_refused_total")},
     })
     if blocks is not None:
-        out = out.crossJoin(F.broadcast(blocks.agg(compression_ratio().alias("compression_lz4_ratio_avg"))))  # one row each
+        counted = [
+            F.count("*").alias("batch_written_total"), F.count_if(F.col("stored_bytes") < F.col("raw_bytes")).alias("batch_compressed_total"),
+            compression_ratio().alias("compression_lz4_ratio_avg"),
+        ]
+        if "file" in blocks.columns:
+            counted.append(F.greatest(F.count_distinct("file") - 1, F.lit(0)).alias("log_rotation"))
+        out = out.crossJoin(F.broadcast(blocks.agg(*counted)))  # one row each
+        out = out.withColumns({c: F.lit(0).cast("bigint") for c in ("compression_failure_total", "backpressure_count", "writer_waitfile_max", "rotation_resync_total")})
     if seconds is not None:
         out = out.withColumn("throughput_sec", F.col("log_processed_total") / F.lit(seconds) / 1e6)
     return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import endpoint as ip
@@ -17,6 +19,30 @@ from ..sources import generator, lines, shard, sinks
 from ..streaming import ingest
 from .log_view import log_view, traffic_report
 
+#: An address, its class, and what levels 1 to 4 leave of it.
+FORMS = (
+    ("192.168.2.23", 0, "192.168.2.xx", "192.168.x.xx", "192.xxx.x.xx", "xxx.xxx.x.xx"),
+    ("10.0.0.1:8080", 0, "10.0.0.x:8080", "10.0.x.x:8080", "10.x.x.x:8080", "xx.x.x.x:8080"),
+    ("[10.0.0.1]:80", 0, "[10.0.0.x]:80", "[10.0.x.x]:80", "[10.x.x.x]:80", "[xx.x.x.x]:80"),
+    ("1.2.3.4%eth0", 0, "1.2.3.x%eth0", "1.2.x.x%eth0", "1.x.x.x%eth0", "x.x.x.x%eth0"),
+    ("10.0.0.0/24", -1, *["10.0.0.0/24"] * 4),
+    ("2001:db8:85a3:0:0:8a2e:370:7334", 1, "2001:db8:85a3:0:0:8a2e:xxx:xxxx", "2001:db8:85a3:0:x:xxxx:xxx:xxxx", "2001:db8:xxxx:x:x:xxxx:xxx:xxxx", "xxxx:xxx:xxxx:x:x:xxxx:xxx:xxxx"),
+    ("2001:db8::1", 1, "2001:db8::x", "2001:db8::x", "2001:db8::x", "xxxx:xxx::x"),
+    ("::1", 1, *["::x"] * 4),
+    ("fe80::1%eth0", 1, "fe80::x%eth0", "fe80::x%eth0", "fe80::x%eth0", "xxxx::x%eth0"),
+    ("[2001:db8::1]:443", 1, "[2001:db8::x]:443", "[2001:db8::x]:443", "[2001:db8::x]:443", "[xxxx:xxx::x]:443"),
+    ("::ffff:192.168.1.1", 1, *["::xxxx:xxx.xxx.x.x"] * 4),
+    ("1::2::3", 1, *["1::2::3"] * 4),
+    ("1:2:3:4:5:6:7::", 1, "1:2:3:4:5:6:7::", "1:2:3:4:5:x:x::", "1:2:3:x:x:x:x::", "1:x:x:x:x:x:x::"),
+    ("2001:db8:0:0:0:0:0:1:443", 1, "2001:db8:0:0:0:0:0:x:xxx", "2001:db8:0:0:0:x:x:x:xxx", "2001:db8:0:x:x:x:x:x:xxx", "2001:xxx:x:x:x:x:x:x:xxx"),
+    ("[fe80::1]/64", 1, "[fe80::x]/64", "[fe80::x]/64", "[fe80::x]/64", "[xxxx::x]/64"),
+    ("fe80::1/64", -1, *["fe80::1/64"] * 4),
+    ("www.example.com", -1, *["www.example.com"] * 4),
+    ("face:80", 1, *["xxxx:xx"] * 4),
+    ("999.1.1.1", 0, "999.1.1.x", "999.1.x.x", "999.x.x.x", "xxx.x.x.x"),
+    ("", -1, *[""] * 4),
+)
+
 #: Rows of a batch in the queries below, small enough for the test tables to have many.
 ROWS = 640
 
@@ -25,11 +51,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch_of: dict[str, list[str]] = {}
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors share: below spark.checkpoint.dir, or in /tmp where that is unset (local runs)."""
+    """A fresh folder all executors share, removed when the driver ends: below spark.checkpoint.dir, or in /tmp where that
+    is unset and the master is local."""
     sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{sc.applicationId}"
-    return f"{top.rstrip('/')}/loglathe-{uuid.uuid4().hex[:12]}-{name}"
+    top = sc.getConf().get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(top or f'file:///tmp/checkpoints/{sc.applicationId}').rstrip('/')}/loglathe-{uuid.uuid4().hex[:12]}-{name}"
+    if sc.applicationId not in _scratch_of:
+        _scratch_of[sc.applicationId] = []
+        atexit.register(_clean, spark, sc.applicationId)
+    _scratch_of[sc.applicationId].append(path)
+    return path
+
+
+def _clean(spark: SparkSession, app: str) -> None:
+    for path in _scratch_of.pop(app, []):
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended before: nothing can be removed any more
+            return
 
 
 def _stored(spark: SparkSession, sf_dir: str, level: int = 0) -> DataFrame:
@@ -52,6 +98,11 @@ def truncate_middle(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.truncate_middle(F.col("text"), "char").alias("resource"))
 
 
+def truncate_middle_bytes(spark, sf_dir):
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "??")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.truncate_middle(ascii_only).alias("resource"))
+
+
 def null_resource(spark, sf_dir):
     empty = F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 3 == 1, F.col("event_type"))
     return _table(spark, sf_dir, "events").select("event_id", text.null_resource(empty).alias("resource"))
@@ -70,6 +121,12 @@ def anon_ip(level):
     return lambda spark, sf_dir: log_view(spark, sf_dir).select("sequence", ip.anon_ip(F.col("endpoint"), level).alias("endpoint"))
 
 
+def anon_ip_forms(spark, sf_dir):
+    """Every form of address that the masking rules tell apart, at every level."""
+    rows = spark.createDataFrame([(k, f[0]) for k, f in enumerate(FORMS)], "form int, address string")
+    return rows.select("form", ip.classify_ip(F.col("address")).alias("class"), *[ip.anon_ip(F.col("address"), k).alias(f"level_{k}") for k in range(1, 5)])
+
+
 def format_timestamp(spark, sf_dir):
     return log_view(spark, sf_dir).select("sequence", text.format_ts(F.col("timestamp_us")).alias("ts"))
 
@@ -200,6 +257,46 @@ def rotation(spark, sf_dir):
     return spark.read.parquet(path).select("sequence", "resource", "endpoint", "http_code")
 
 
+def rotation_files(spark, sf_dir):
+    """Four copies of the events by one task, in files of 15,500 rows: the rows of each file."""
+    path = _scratch(spark, "rotated")
+    config = Config(path=path, files=1, batch="500KB", compression="fast")
+    rows = _stored(spark, sf_dir)
+    sinks.write_events(rows.unionByName(rows).unionByName(rows).unionByName(rows).coalesce(1), config)
+    per = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
+    return per.select(F.row_number().over(Window.orderBy(F.desc("rows"))).alias("place"), "rows")
+
+
+def _one_shard(spark, sf_dir) -> DataFrame:
+    """The file of blocks that one task writes of all events, as a row of Spark's file reader."""
+    shard.register(spark)
+    path = _scratch(spark, "shard")
+    rows = _stored(spark, sf_dir).repartitionByRange(1, "sequence").sortWithinPartitions("sequence")
+    rows.write.format(shard.FORMAT).option("path", path).option("rows_per_batch", ROWS).mode("append").save()
+    return shard.binary_files(spark, path)
+
+
+def text_export_headers(spark, sf_dir):
+    """Headers of blocks and the marker of a damaged one, which is added at the end of the file."""
+    damaged = F.to_binary(F.lit("1000000010000000" + "78" * 16), F.lit("hex"))
+    files = _one_shard(spark, sf_dir).select("path", F.concat("content", damaged).alias("content"))
+    return export.text_export(shard.decode_files(files))
+
+
+def block_sizes(spark, sf_dir):
+    sizes = shard.block_sizes(_one_shard(spark, sf_dir))
+    return sizes.select("block", "raw_bytes", (F.col("stored_bytes") < F.col("raw_bytes")).alias("compressed"))
+
+
+def telemetry_blocks(spark, sf_dir):
+    """Counters as JSON, with those of real blocks; without the ratio, which no other engine has."""
+    row = telemetry.telemetry(_batched(spark, sf_dir), shard.block_sizes(_one_shard(spark, sf_dir)))
+    return telemetry.as_json(row.select(
+        "log_processed_total", "batch_flushed_total", "batch_compressed_total", "batch_written_total", "log_rotation", "compression_failure_total",
+        "lost_logs_total", "log_refused_total", "backpressure_count",
+    ))
+
+
 def stream_equals_batch(spark, sf_dir):
     source, path = _scratch(spark, "source"), _scratch(spark, "stream")
     raw = log_view(spark, sf_dir)
@@ -217,7 +314,8 @@ QUERIES = {
     "format_line": format_line, "filtered_decode": filtered_decode, "json_export": json_export, "telemetry": telemetry_counters,
     "compression_ratio": compression_ratio, "entropy_per_row": entropy_per_row, "entropy_mean": entropy_mean, "global_order": global_order,
     "line_load": line_load, "generated": generated, "block_roundtrip": block_roundtrip, "block_files": block_files, "text_export": text_export,
-    "rotation": rotation, "stream_equals_batch": stream_equals_batch,
+    "rotation": rotation, "rotation_files": rotation_files, "text_export_headers": text_export_headers, "block_sizes": block_sizes,
+    "telemetry_blocks": telemetry_blocks, "truncate_middle_bytes": truncate_middle_bytes, "anon_ip_forms": anon_ip_forms, "stream_equals_batch": stream_equals_batch,
 }
 
 _VIEW = """with recursive_free as (select 1), log_view as (
@@ -264,10 +362,13 @@ ORACLE = {
         sum(duration_ms)::bigint as total_ms, max(duration_ms) as max_ms from stored group by 1, 2""",
     "strip_params": "select page_id, regexp_replace(url, '[?].*$', '?', 's') as resource from pages",
     "truncate_middle": "select doc_id, case when strlen(text) < 563 then text else left(text, 80) || '...' || right(text, 479) end as resource from documents",
+    "truncate_middle_bytes": """select doc_id, case when length(t) < 563 then t else left(t, 80) || '...' || right(t, 479) end as resource
+        from (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '??', 'g') as t from documents)""",
     "null_resource": "select event_id, coalesce(nullif(case event_id % 3 when 0 then '' when 1 then event_type end, ''), 'NULL') as resource from events",
     "clip_endpoint": "select event_id, coalesce(left(case when event_id % 4 > 0 then repeat(event_type, event_id % 30) end, 79), '') as endpoint from events",
     "classify_ip": _VIEW + "select sequence, case when endpoint like '2001%' then 1 when endpoint like 'host%' then -1 else 0 end as class from log_view",
     **{f"anon_ip_l{k}": _VIEW + f"select sequence, {_masked(k)} as endpoint from log_view" for k in range(1, 5)},
+    "anon_ip_forms": "select * from (values " + ", ".join(f"({k}, {f[1]}, " + ", ".join(f"'{x}'" for x in f[2:]) + ")" for k, f in enumerate(FORMS)) + ") t(form, class, level_1, level_2, level_3, level_4)",
     "format_timestamp": "select event_id + 1 as sequence, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as ts from events",
     "verb_decode": f"select event_id, case event_id % 45 {_VERBS} else (event_id % 45)::varchar end as verb from events",
     "narrow_status": "select event_id, ((event_id * 37 + 65000) % 65536)::int as http_code from events",
@@ -302,5 +403,13 @@ ORACLE = {
     "block_files": _VIEW + "select sequence, resource, endpoint from stored",
     "text_export": _VIEW + f"select {_LINE} as value from stored",
     "rotation": _VIEW + "select sequence, resource, endpoint, http_code from stored",
+    "rotation_files": "select (i + 1)::int as place, least(15500, n - i * 15500) as rows from (select unnest(range((n + 15499) // 15500)) as i, n from (select 4 * count(*) as n from events))",
+    "text_export_headers": _VIEW + f"""select {_LINE} as value from stored union all
+        select chr(10) || '=== BLOCK ' || batch_id || ' === (' || count(*) || ' entries)' from batched group by batch_id union all
+        select chr(10) || '=== BLOCK ' || count(distinct batch_id) || ' FAILED ===' from batched""",
+    "block_sizes": _VIEW + """, names as (select batch_id, sum(strlen(value) + 6 + (kind = 'resource')::int) as bytes from dict group by batch_id)
+        select b.batch_id as block, (32 * count(*) + 24 + any_value(bytes))::bigint as raw_bytes, true as compressed from batched b join names using (batch_id) group by b.batch_id""",
+    "telemetry_blocks": _VIEW + """select to_json({'log_processed_total': count(*), 'batch_flushed_total': count(distinct batch_id), 'batch_compressed_total': count(distinct batch_id),
+        'batch_written_total': count(distinct batch_id), 'log_rotation': 0, 'compression_failure_total': 0, 'lost_logs_total': 0, 'log_refused_total': 0, 'backpressure_count': 0})::varchar as telemetry from batched""",
     "stream_equals_batch": _VIEW + f"select sequence, resource, {_masked(2)} as endpoint, http_code from stored",
 }

@@ -30,9 +30,12 @@ _TEST = re.compile(r"\s*(\w+)\s*(<=|>=|=|<|>)\s*(-?\d+)\s*")
 _NUMBERS = {"sequence", "timestamp_us", "http_code", "http_verb", "duration_ms", "response_size", "flags"}
 
 
-def decode_file(name: str, file, wanted: set[str] | None = None, tests: list[tuple] | None = None) -> Iterator[pa.RecordBatch]:
-    """One batch a block; a block that does not parse is one row with its reason, and the next block follows."""
-    for number, stored, size in codec.blocks(file):
+def decode_file(name: str, file, wanted: set[str] | None = None, tests: list[tuple] | None = None, between: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """One batch a block; a block that does not parse is one row with its reason, and the next block follows.
+
+    ``between``: only blocks that begin at these places of the file, which then must be seekable.
+    """
+    for number, stored, size in codec.blocks_between(file, *between) if between else codec.blocks(file):
         try:
             got = codec.decode_block(stored, size, wanted)
         except codec.Corrupt as error:
@@ -69,12 +72,14 @@ def _open(path: str):
 
 
 @dataclass
-class ShardFile(InputPartition):
+class ShardPart(InputPartition):
     path: str
+    start: int = 0
+    end: int = 0
 
 
 class ShardReader(DataSourceReader):
-    """One partition a file.
+    """Partitions of ``split_bytes`` (128 MiB): a block belongs to that in which it begins.
 
     Option ``columns``: the strings to decode (``resource,endpoint``).  Option ``filters``: comparisons of number
     columns (``http_code>=400,sequence<500``), applied before strings are decoded.  They are an option because
@@ -85,6 +90,7 @@ class ShardReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
         columns = options.get("columns")
+        self.split = int(options.get("split_bytes", 128 << 20))
         self.wanted = {c.strip() for c in columns.split(",")} if columns else None
         self.tests: list[tuple] = []
         for part in filter(None, (options.get("filters") or "").split(",")):
@@ -99,15 +105,16 @@ class ShardReader(DataSourceReader):
         store, path = _open(self.options["path"])
         info = store.get_file_info(path)
         if info.type == fs.FileType.File:
-            return [ShardFile(path)]
-        found = store.get_file_info(fs.FileSelector(path, recursive=True))
-        return [ShardFile(i.path) for i in sorted(found, key=lambda i: i.path) if i.type == fs.FileType.File and i.path.endswith(".bin")] or [ShardFile("")]
+            found = [info]
+        else:
+            found = [i for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".bin")]
+        return [ShardPart(i.path, at, at + self.split) for i in sorted(found, key=lambda i: i.path) for at in range(0, i.size, self.split)] or [ShardPart("")]
 
-    def read(self, partition: ShardFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ShardPart) -> Iterator[pa.RecordBatch]:
         if partition.path:
             store, _ = _open(self.options["path"])
-            with store.open_input_stream(partition.path) as file:
-                yield from decode_file(partition.path.rsplit("/", 1)[-1], file, self.wanted, self.tests)
+            with store.open_input_file(partition.path) as file:
+                yield from decode_file(partition.path.rsplit("/", 1)[-1], file, self.wanted, self.tests, (partition.start, partition.end))
 
 
 @dataclass
@@ -204,5 +211,22 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, DECODED_EVENT)
 
 
+def block_sizes(files: DataFrame) -> DataFrame:
+    """(file, block, raw_bytes, stored_bytes) of every block in rows of the ``binaryFile`` source, from the headers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = [(n, raw, len(stored)) for n, stored, raw in codec.blocks(io.BytesIO(content))]
+                cols = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * len(found), pa.string()), *cols], names=["file", "block", "raw_bytes", "stored_bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "file string, block long, raw_bytes long, stored_bytes long")
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path))
+    """Decoded events through Spark's own file reader: from any store it reaches, a task a file of 2 GB at most."""
+    return decode_files(binary_files(spark, path))

@@ -59,7 +59,11 @@ def write_parquet(df: DataFrame, path: str, config: Config, mode: str = "append"
 
 
 def write_events(df: DataFrame, config: Config, log: ErrorLog | None = None) -> str:
-    """Checks the configuration, writes with failover, returns the path that was written."""
+    """Checks the configuration, writes with failover, returns the path that was written.
+
+    Failures go to ``log``, by default to the error log in the configuration's ``error_path``.
+    """
     if config.check() == Status.MISSING_PARAMETER:
         raise ValueError("a path is needed")
+    log = log or ErrorLog(df.sparkSession, config.error_path)
     return Failover(config.path, config.backup_path, log).run(lambda path: write_parquet(df, path, config))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.normalize import normalize
@@ -36,13 +36,55 @@ def stop(query: StreamingQuery) -> None:
     query.stop()
 
 
-def numbered_batches(events: DataFrame, producer: str, rows: int) -> DataFrame:
-    """Gap-free row-count batches of each producer on a stream: the state is one row counter a producer."""
+#: How each kind of source is told to take no more at a time.
+LIMITS = {"rows": {"kafka": "maxOffsetsPerTrigger", "rate-micro-batch": "rowsPerBatch"}, "files": {"": "maxFilesPerTrigger"}, "bytes": {"": "maxBytesPerTrigger"}}
+
+
+def limited(reader: DataStreamReader, source: str, rows: int | None = None, files: int | None = None, bytes: int | None = None) -> DataStreamReader:
+    """Backpressure: the most that one micro-batch takes; the rest waits at the source, nothing is refused or lost."""
+    for what, most in (("rows", rows), ("files", files), ("bytes", bytes)):
+        if most is not None:
+            option = LIMITS[what].get(source) or LIMITS[what].get("")
+            if option is None:
+                raise ValueError(f"{source} cannot be limited by {what}")
+            reader = reader.option(option, str(most))
+    return reader
+
+
+class Counters(StreamingQueryListener):
+    """Counters over all micro-batches of a session's streams: add it by ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.batches = self.rows = self.failed = 0
+        self.rows_per_second_max = 0.0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.batches += 1
+        self.rows += event.progress.numInputRows
+        self.rows_per_second_max = max(self.rows_per_second_max, event.progress.processedRowsPerSecond or 0.0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.failed += event.exception is not None
+
+
+def numbered_batches(events: DataFrame, producer: str, rows: int, order: str | None = None) -> DataFrame:
+    """Gap-free row-count batches of each producer on a stream: the state is one row counter a producer.
+
+    With ``order`` the rows that one micro-batch has of a producer are numbered in that column's order.
+    """
     fields = [f for f in events.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", batch_id long"
 
     def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (seen,) = state.get if state.exists else (0,)
+        if order is not None:
+            parts = iter([pd.concat(list(parts)).sort_values(order, kind="stable")])
         for part in parts:
             yield part.assign(batch_id=(seen + pd.RangeIndex(len(part)).to_series(index=part.index)) // rows)
             seen += len(part)

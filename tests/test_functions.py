@@ -120,10 +120,10 @@ def test_codes(spark):
 
 def test_line(spark):
     df = spark.range(1).select(text.format_line(
-        F.lit(79461928), F.lit("2025-10-06T12:40:55.904092Z"), F.lit("file:///C:/logs/shard_14804_26.bin"), F.lit("122.49.139.58"), F.lit(409),
-        F.lit("DELETE"), F.lit(48067), F.lit(23914), F.lit(229),
+        F.lit(31), F.lit("2024-02-29T23:59:59.000001Z"), F.lit("/shop/item?"), F.lit("host7.example.net"), F.lit(404),
+        F.lit("PATCH"), F.lit(12), F.lit(3), F.lit(129),
     ))
-    assert df.first()[0] == "[79461928] [2025-10-06T12:40:55.904092Z] [file:///C:/logs/shard_14804_26.bin] [122.49.139.58] [409] [DELETE] [48067ms] [23914b] [229]"
+    assert df.first()[0] == "[31] [2024-02-29T23:59:59.000001Z] [/shop/item?] [host7.example.net] [404] [PATCH] [12ms] [3b] [129]"
 
 
 def test_entropy(spark):

@@ -34,6 +34,15 @@ def test_sequence_with_ties_and_nulls(spark):
     assert batching.assign_sequence(df.limit(0), "k").count() == 0
 
 
+def test_batches_of_a_hot_producer(spark):
+    df = spark.range(900).selectExpr("id * 7 % 900 as id", "case when id % 10 = 0 then null when id % 10 = 1 then 'a' else 'hot' end as p")
+    got = batching.assign_batches(df, 10, "id", "p", range_rows=50)
+    assert "_range" in got._jdf.queryExecution().optimizedPlan().toString()
+    for p in (None, "a", "hot"):
+        rows = sorted((r for r in got.collect() if r["p"] == p), key=lambda r: r["id"])
+        assert [r["batch_id"] for r in rows] == [k // 10 for k in range(len(rows))]
+
+
 def test_batches(spark):
     df = spark.range(1, 101).withColumn("p", F.col("id") % 3)
     per = batching.assign_batches(df, 10, "id", "p").groupBy("p", "batch_id").count().collect()

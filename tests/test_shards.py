@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loglathe import schema
 from loglathe.operators import export
 from loglathe.operators.normalize import normalize
 from loglathe.schema import Config
@@ -104,7 +105,18 @@ def test_round_trip_and_filters(spark, stored, tmp_path):
     assert part.where("endpoint is not null").count() == 0 and part.where("resource is null").count() == 0
     assert [r[0] for r in export.absolute_order(back).select("sequence").collect()] == list(range(1, 1001))
     text = [r[0] for r in export.text_export(back).collect()]
-    assert sum(t.startswith("=== BLOCK") for t in text) == back.select("file", "block").distinct().count() and len(text) > 1000
+    assert sum(t.startswith("\n=== BLOCK") for t in text) == back.select("file", "block").distinct().count() and len(text) > 1000
+
+
+def test_parts_of_a_file_hold_each_block_once(spark, tmp_path):
+    raw = b"".join(block(n) for n in (3, 1, 2)) + block(replace=[(codec.BEGIN, b"\0" * 8)]) + block(5)
+    (tmp_path / "a.bin").write_bytes(raw)
+    shard.register(spark)
+    whole = sorted(map(str, shard.read_shards(spark, f"file://{tmp_path}").collect()))
+    for split in (1, 50, 133, len(raw), 10 * len(raw)):
+        if split > 1 or len(raw) < 2000:
+            df = spark.read.format(shard.FORMAT).option("path", str(tmp_path)).option("split_bytes", split).load()
+            assert sorted(map(str, df.collect())) == whole
 
 
 def test_corrupt_rows_in_spark(spark, tmp_path):
@@ -112,7 +124,7 @@ def test_corrupt_rows_in_spark(spark, tmp_path):
     df = shard.read_shards(spark, f"file://{tmp_path}")
     assert [tuple(r) for r in export.corrupt_blocks(df).collect()] == [("a.bin", 1, "no begin mark")]
     assert df.where("corrupt_reason is null").count() == 6
-    assert "=== BLOCK 1 FAILED ===" in [r[0] for r in export.text_export(df).collect()]
+    assert "\n=== BLOCK 1 FAILED ===" in [r[0] for r in export.text_export(df).collect()]
 
 
 def test_parquet_rotation_and_failover(spark, stored, tmp_path):
@@ -155,3 +167,37 @@ def test_numbered_batches_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = {(r["producer"], r["batch_id"]): r["count"] for r in spark.read.parquet(f"file://{tmp_path}/out").groupBy("producer", "batch_id").count().collect()}
     assert got == {(p, b): 7 if b < 2 else 6 for p in (0, 1) for b in range(3)}
+
+
+def test_sequence_off_and_error_path(spark, tmp_path):
+    raw = spark.createDataFrame([(1, "/a", 200, "h", 1, 1, 1, 5)], schema.RAW_EVENT)
+    assert normalize(raw, schema.Config(sequence=False)).first()["sequence"] == 0 and "sequence" not in normalize(raw).columns
+    (tmp_path / "file").write_text("no folder")
+    config = schema.Config(path=f"file://{tmp_path}/file/below", backup_path=f"file://{tmp_path}/spare", error_path=f"file://{tmp_path}/errors")
+    assert sinks.write_events(normalize(raw), config).endswith("/spare")
+    assert len(list((tmp_path / "errors").glob("_error_*.txt"))) == 1
+
+
+def test_limits(spark, tmp_path):
+    raw = spark.range(40).selectExpr("id", "id % 2 as producer", "40 - id as at")
+    raw.repartition(8).write.parquet(f"file://{tmp_path}/in")
+    told = ingest.Counters()
+    spark.streams.addListener(told)
+    try:
+        live = ingest.limited(spark.readStream.schema(raw.schema), "parquet", files=2).parquet(f"file://{tmp_path}/in")
+        numbered = ingest.numbered_batches(live, "producer", 7, "at")
+        query = numbered.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        assert told.rows == 40 and told.batches >= 4 and told.failed == 0
+    finally:
+        spark.streams.removeListener(told)
+    with pytest.raises(ValueError):
+        ingest.limited(spark.readStream, "parquet", rows=5)
+    # rows of one micro-batch are numbered in order
+    once = ingest.numbered_batches(spark.readStream.schema(raw.schema).parquet(f"file://{tmp_path}/in"), "producer", 7, "at")
+    once.writeStream.format("parquet").option("path", f"file://{tmp_path}/out2").option("checkpointLocation", f"file://{tmp_path}/ck2").trigger(availableNow=True).start().awaitTermination()
+    for p in (0, 1):
+        rows = sorted(spark.read.parquet(f"file://{tmp_path}/out2").where(f"producer = {p}").collect(), key=lambda r: r["at"])
+        assert [r["batch_id"] for r in rows] == [k // 7 for k in range(20)]
