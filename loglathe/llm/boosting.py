@@ -6,8 +6,8 @@ import numpy as np
 
 
 class Boosted:
-    def __init__(self, trees: int = 60, depth: int = 4, bins: int = 32, rate: float = 0.25, l2: float = 1.0, least: float = 2.0):
-        self.n, self.depth, self.bins, self.rate, self.l2, self.least = trees, depth, bins, rate, l2, least
+    def __init__(self, trees: int = 60, depth: int = 4, bins: int = 32, rate: float = 0.25, l2: float = 1.0, least: float = 2.0, part: float = 0.5):
+        self.n, self.depth, self.bins, self.rate, self.l2, self.least, self.part = trees, depth, bins, rate, l2, least, part
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         rows, cols = x.shape
@@ -21,13 +21,16 @@ class Boosted:
         self.feature = np.zeros((self.n, size), np.int32)
         self.value = np.full((self.n, size), np.inf, np.float32)  # go left where x <= value
         self.leaf = np.zeros((self.n, size), np.float32)
+        pick = np.random.default_rng(0)
         for t in range(self.n):
-            p = 1 / (1 + np.exp(-score))
-            g, h = p - y, p * (1 - p)
-            at = np.zeros(rows, np.int64)
+            # a tree is grown on a part of the rows, drawn anew (stochastic boosting), and scores all
+            own = np.flatnonzero(pick.random(rows) < self.part)
+            p = 1 / (1 + np.exp(-score[own]))
+            g, h = p - y[own], p * (1 - p)
+            at, flat_own, x_own = np.zeros(len(own), np.int64), flat[own], x[own]
             for d in range(self.depth):
                 first, many = 2**d - 1, 2**d
-                key = ((at - first)[:, None] * (cols * width) + flat).ravel()
+                key = ((at - first)[:, None] * (cols * width) + flat_own).ravel()
                 gs = np.bincount(key, np.repeat(g, cols), many * cols * width).reshape(many, cols, width)
                 hs = np.bincount(key, np.repeat(h, cols), many * cols * width).reshape(many, cols, width)
                 gl, hl = gs.cumsum(2), hs.cumsum(2)
@@ -40,18 +43,20 @@ class Boosted:
                     if gain[k, j, b] > 1e-6 and b < len(self.cuts[j]):
                         self.feature[t, first + k], self.value[t, first + k] = j, self.cuts[j][b]
                 f, v = self.feature[t, at], self.value[t, at]
-                at = 2 * at + 1 + (x[np.arange(rows), f] > v)
+                at = 2 * at + 1 + (x_own[np.arange(len(own)), f] > v)
             total_g, total_h = np.bincount(at, g, size), np.bincount(at, h, size)
             self.leaf[t] = -self.rate * total_g / (total_h + self.l2)
-            score += self.leaf[t, at]
+            score += self.leaf[t, self._leaves(t, x)]
         return self
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        rows = np.arange(len(x))
         out = np.full(len(x), self.base)
         for t in range(self.n):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                at = 2 * at + 1 + (x[rows, self.feature[t, at]] > self.value[t, at])
-            out += self.leaf[t, at]
+            out += self.leaf[t, self._leaves(t, x)]
         return out
+
+    def _leaves(self, t: int, x: np.ndarray) -> np.ndarray:
+        rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (x[rows, self.feature[t, at]] > self.value[t, at])
+        return at

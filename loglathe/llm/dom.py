@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -91,13 +92,16 @@ class Pages:
         self.marks.append(marks)
         return len(self.page) - 1
 
-    def parse(self, html: str) -> None:
+    def parse(self, html: str, own: int = -1) -> None:
+        """Adds a page; ``own``: the label of text that lies in no element, if it is known."""
         page = len(self.roots)
         root = self._add(page, -1, 0, "", "")
+        self.target[root] = own
         self.roots.append(root)
         pieces: list[tuple[int, int, str]] = []
         self.pieces.append(pieces)
         names, nodes = [""], [root]
+        open_names: Counter[str] = Counter()  # so that no stack is searched in vain
         hidden = block = at = 0  # hidden: the depth of the stack from which nothing is seen
         end = len(html)
 
@@ -107,6 +111,8 @@ class Pages:
 
         def pop(to: int) -> None:
             nonlocal hidden
+            for gone in names[to:]:
+                open_names[gone] -= 1
             del names[to:], nodes[to:]
             if hidden and to <= hidden:
                 hidden = 0
@@ -122,7 +128,7 @@ class Pages:
                 name = m[1].lower()
                 if name not in INLINE:
                     block += 1
-                for k in range(len(names) - 1, 0, -1):
+                for k in range(len(names) - 1 if open_names[name] else 0, 0, -1):
                     if names[k] == name:
                         pop(k)
                         break
@@ -137,7 +143,7 @@ class Pages:
                 block += 1
             elif name == "br" and not hidden:
                 pieces.append((nodes[-1], block, " "))
-            if name in CLOSES_P and "p" in names:
+            if name in CLOSES_P and open_names["p"]:
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] == "p":
                         pop(k)
@@ -146,7 +152,7 @@ class Pages:
                         break
             if name in ENDS:
                 ended, stops = ENDS[name]
-                for k in range(len(names) - 1, 0, -1):
+                for k in range(len(names) - 1 if any(open_names[e] for e in ended) else 0, 0, -1):
                     if names[k] in ended:
                         pop(k)
                         break
@@ -160,15 +166,16 @@ class Pages:
                 close = re.compile(f"</{name}", re.I).search(html, at)
                 at = close.start() if close else end
                 names.append(name)
+                open_names[name] += 1
                 nodes.append(nodes[-1])
                 hidden = hidden or len(names) - 1
                 continue
             attrs = m[3] if m[2] else m[5]
             if attrs.endswith("/") and name in ("svg", "path"):
                 continue
-            # very deep nesting adds no more levels
-            node = self._add(page, nodes[-1], self.depth[nodes[-1]] + 1, name, attrs) if len(nodes) < 200 else nodes[-1]
+            node = self._add(page, nodes[-1], self.depth[nodes[-1]] + 1, name, attrs)
             names.append(name)
+            open_names[name] += 1
             nodes.append(node)
             if name in HIDDEN and not hidden:
                 hidden = len(names) - 1
@@ -212,7 +219,8 @@ class Pages:
             counts = np.diff(np.r_[start, n])
             index[by] = np.arange(n) - np.repeat(start, counts)
             siblings[by] = np.repeat(counts, counts)
-        roots = np.array(self.roots)
+        roots = np.array(self.roots, np.int64)
+        index[roots], siblings[roots] = 0, 1  # the roots of a batch are no siblings
         whole = np.maximum(sub[roots][page, 0], 1)
         up = np.maximum(sub[np.maximum(parent, 0), 0], 1)
         text = sub[:, 0]

@@ -3,7 +3,8 @@
 Each element gets the probability that it belongs to the article.  A path from the root down is first
 outside the article, then inside, then in something cut out of it (an advert, a comment list), and never
 turns back; among all such labellings of a page the most likely one is taken, by dynamic programming over
-the tree.  So no element is chosen inside a rejected part of an article, and no article is torn apart by
+the tree.  Text that lies in no element belongs to the page's root, which can be inside only where it has such text.
+So no element is chosen inside a rejected part of an article, and no article is torn apart by
 one doubtful paragraph.
 
 The classifier is fitted on pages that ``training_page`` makes up: ``TRAINING_PAGES`` layouts of invented
@@ -30,6 +31,8 @@ from .common import bound_arrow, empty_text, packed, unpacked
 from .dom import Pages
 
 TRAINING_PAGES = 1200
+#: What each element costs in which the article begins, in units of log-odds: an article is one subtree, or few.
+START = 2.0
 
 
 class _Maker:
@@ -172,10 +175,22 @@ class _Maker:
             return self.el(1, r.choice(("article", "article", "article", "main")), inner, r.choice(("", "", self.attr("post", "story"))))
         return self.el(1, r.choice(("div", "div", "section", "td")), inner, self.attr("content", "article", "post", "entry", "main-content", "story"))
 
+    def fragment(self) -> tuple[str, int]:
+        r = self.r
+        if r.random() < 0.7:
+            parts = [self.words(8, 120) for _ in range(r.randint(1, 5))]
+            body = r.choice(("<br><br>", "<br>", " <b data-y=1>x</b> ", "\n")).join(parts)
+            around = [f() for f, p in ((self.menu, 0.2), (self.advert, 0.2), (self.footer, 0.2)) if r.random() < p]
+            return (around[0] if around else "") + body + "".join(around[1:]), 1
+        whole = self.page()
+        return (self.words(1, 3) + whole, 0) if r.random() < 0.5 else (whole + self.words(1, 3), 0)
+
     def page(self) -> str:
         r = self.r
         before = [f for f, p in ((self.notice, 0.15), (self.header, 0.35), (self.menu, 0.8), (self.advert, 0.4), (self.sidebar, 0.2), (self.form, 0.1)) if r.random() < p]
         after = [f for f, p in ((self.sidebar, 0.2), (self.comments, 0.3), (self.advert, 0.2), (self.form, 0.15), (self.notice, 0.1), (self.footer, 0.85), (self.notice, 0.05)) if r.random() < p]
+        if r.random() < 0.12:  # little or nothing besides the article
+            before, after = before[: r.randint(0, 1)], after[: r.randint(0, 1)]
         middle = self.article()
         if r.random() < 0.25:
             extra = "".join(f() for f in r.sample((self.advert, self.sidebar, self.comments, self.form, self.menu), r.randint(0, 2)))
@@ -183,6 +198,8 @@ class _Maker:
         body = "".join(f() for f in before) + middle + "".join(f() for f in after)
         if r.random() < 0.2:
             body = self.el(0, r.choice(("div", "div", "div", "form")), body, self.attr("page", "wrapper", "container"))
+        for _ in range(r.choice((0, 0, 0, 0, 1, 2, 4, 8, 20))):  # depth alone says little
+            body = self.el(0, "div", body, r.choice(("", "", self.attr("page", "wrapper", "container"))))
         return f"<!DOCTYPE html><html data-y=0><head data-y=0><title>{self.words(1, 9)}</title><style>p{{}}</style></head><body data-y=0>{body}</body></html>"
 
 
@@ -191,11 +208,18 @@ def training_page(seed: int) -> str:
     return _Maker(seed).page()
 
 
+def training_fragment(seed: int) -> tuple[str, int]:
+    """A piece of a page with text that lies in no element, and whether that text is the article."""
+    return _Maker(seed).fragment()
+
+
 @cache
 def model(pages: int = TRAINING_PAGES, seed: int = 7) -> Boosted:
     made = Pages()
     for k in range(pages):
         made.parse(training_page(seed * 1_000_003 + k))
+    for k in range(pages // 6):
+        made.parse(*training_fragment(seed * 2_000_003 + k))
     known = np.array(made.target) >= 0
     return Boosted().fit(made.features()[known], np.array(made.target)[known].astype(float))
 
@@ -205,14 +229,23 @@ def decode(pages: Pages, odds: np.ndarray) -> np.ndarray:
     parent, levels = np.array(pages.parent), pages.levels()
     yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
     gain = np.column_stack([no, yes, no])
-    gain[pages.roots] = [0, -np.inf, -np.inf]
+    roots = np.array(pages.roots, np.int64)
+    if len(roots):
+        bare = np.zeros(len(parent), bool)  # elements with text of their own
+        for pieces in pages.pieces:
+            bare[[node for node, _, raw in pieces if not raw.isspace()]] = True
+        closed = roots[~bare[roots]]  # a page's root can be chosen only for such text
+        gain[closed] = [0, -np.inf, -np.inf]
+        gain[roots, 2] = -np.inf
     for level in reversed(levels[1:]):
         g = gain[level]
-        np.add.at(gain, parent[level], np.column_stack([np.maximum(g[:, 0], g[:, 1]), np.maximum(g[:, 1], g[:, 2]), g[:, 2]]))
+        np.add.at(gain, parent[level], np.column_stack([np.maximum(g[:, 0], g[:, 1] - START), np.maximum(g[:, 1], g[:, 2]), g[:, 2]]))
     state = np.zeros(len(parent), np.int64)
+    if len(roots):
+        state[roots] = gain[roots, 1] > gain[roots, 0]
     for level in levels[1:]:
         up, g = state[parent[level]], gain[level]
-        state[level] = np.where(up == 0, g[:, 1] > g[:, 0], np.where(up == 1, 1 + (g[:, 2] > g[:, 1]), 2))
+        state[level] = np.where(up == 0, g[:, 1] - START > g[:, 0], np.where(up == 1, 1 + (g[:, 2] > g[:, 1]), 2))
     return state == 1
 
 

@@ -1,5 +1,7 @@
 """HTML reading, the classifier on unseen made-up pages, decoding, and edge cases."""
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,43 @@ def test_page(trees):
     )
 
 
+def test_deep_pages_and_bare_text(trees):
+    deep = "<div>" * 250 + PAGE[PAGE.index("<article>") : PAGE.index("</article>") + 10] + "</div>" * 250
+    assert "Buy it now" not in html_text.extract([deep], trees)[0] and "Third paragraph" in html_text.extract([deep], trees)[0]
+    words = "A plain text without any element, which goes on for some words. And then it goes on for some more of them, and ends. " * 4
+    words = words.strip()
+    assert html_text.extract([words, words + "<br>" + words], trees) == [words, words + " " + words]
+    pages = Pages()
+    pages.parse("<span>" * 60_000 + "</i>" * 60_000 + "text")  # in time
+    assert len(pages.page) == 60_001
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_decoding_finds_the_best_labelling(seed):
+    rng = np.random.default_rng(seed)
+    html, open_ = "x" if seed % 2 else "", 0
+    for _ in range(6):
+        if open_ and rng.random() < 0.4:
+            html, open_ = html + "</div>", open_ - 1
+        html, open_ = html + "<div>t", open_ + 1
+    pages = Pages()
+    pages.parse(html)
+    n, parent = len(pages.page), pages.parent
+    odds = rng.normal(0, 2, n)
+    yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+    best, chosen = -np.inf, None
+    for states in itertools.product((0, 1, 2), repeat=n):  # outside, inside, cut out
+        if states[0] == 2 or states[0] == 1 and not html.startswith("x"):
+            continue
+        if any(states[parent[k]] > states[k] or (states[parent[k]], states[k]) == (0, 2) for k in range(1, n)):
+            continue
+        gain = sum(yes[k] if s == 1 else no[k] for k, s in enumerate(states))
+        gain -= html_text.START * sum(states[k] == 1 and states[parent[k]] == 0 for k in range(1, n))
+        if gain > best + 1e-12:
+            best, chosen = gain, [s == 1 for s in states]
+    assert html_text.decode(pages, odds).tolist() == chosen
+
+
 def test_odd_pages(trees):
     odd = ["", "plain words", "<", "<p", "<p>a<", "</p></div>", "<script>never ends", "<!-- never ends", "<div>" * 3000 + "deep", "<a b='c>text", "&#0; &#xffffff;", "<p>" + "long " * 50_000, "<>", "< p>x"]
     assert len(html_text.extract(odd, trees)) == len(odd)
