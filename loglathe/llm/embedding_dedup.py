@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, bound_arrow
+from .common import BROADCAST_ROWS, Kept, bound_arrow
 from .components import components
 
 BLOCKS, TILE = 4, 8192
@@ -40,6 +40,8 @@ BLOCKS, TILE = 4, 8192
 STRIP, COLUMNS, SLACK, PAIRS = 256, 4096, 1e-4, 20_000
 #: Lengths up to which principal directions are computed; longer vectors keep their axes.
 PRINCIPAL = 2048
+#: Rows of a matrix that are summed together.
+BAND = 64
 
 
 def unit_rows(raw: np.ndarray) -> np.ndarray:
@@ -196,14 +198,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                     x = unit_rows(_matrix(batch.column("raw").filter(pa.array(dims == d)), d, kind))
                     sums[d] = sums.get(d, 0) + x.T @ x
         for d, m in sums.items():
-            yield pa.RecordBatch.from_pydict({"dim": pa.array(np.full(d * d, d), pa.int32()), "k": pa.array(np.arange(d * d), pa.int32()), "s": m.ravel()})
+            parts = [m[k : k + BAND].tobytes() for k in range(0, d, BAND)]
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([d] * len(parts), pa.int32()), "band": pa.array(range(len(parts)), pa.int32()), "s": pa.array(parts, pa.binary())})
 
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(s) for s in pdf["s"])
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "band": pdf["band"].iloc[:1], "s": [total.tobytes()]})
+
+    shape = "dim int, band int, s binary"
     lengths = [r["dim"] for r in table.select("dim").distinct().collect()]
-    summed = table.select("dim", "raw").mapInArrow(moments, "dim int, k int, s double").groupBy("dim", "k").agg(F.sum("s").alias("s"))
-    got: dict[int, np.ndarray] = {d: np.zeros(d * d) for d in lengths if d <= PRINCIPAL}
-    for r in summed.collect():
-        got[r["dim"]][r["k"]] = r["s"]
-    spaces = spark.sparkContext.broadcast({d: Space(d, got[d].reshape(d, d) if d in got else None, threshold) for d in lengths})
+    parts = table.select("dim", "raw").mapInArrow(moments, shape).withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(16)))
+    summed = parts.groupBy("dim", "band", "salt").applyInPandas(merge, shape).groupBy("dim", "band").applyInPandas(merge, shape)
+    got: dict[int, np.ndarray] = {d: np.zeros((d, d)) for d in lengths if d <= PRINCIPAL}
+    for r in summed.collect():  # a matrix a length
+        got[r["dim"]][r["band"] * BAND : (r["band"] + 1) * BAND] = np.frombuffer(r["s"]).reshape(-1, r["dim"])
+    spaces = spark.sparkContext.broadcast({d: Space(d, got.get(d), threshold) for d in lengths})
 
     def placed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         dims = batch.column("dim").to_numpy(zero_copy_only=False)
@@ -222,8 +231,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                 yield pa.RecordBatch.from_pydict({"dim": pa.array(np.full(len(c), d), pa.int32()), "b": pa.array(np.full(len(c), b), pa.int32()), "cell": c, "n": n.astype(np.int64)})
 
     sizes = table.select("dim", "raw").mapInArrow(count, "dim int, b int, cell long, n long").groupBy("dim", "b", "cell").agg(F.sum("n").alias("n"))
-    # only cells of more than TILE rows: at most one for every TILE rows
-    cut = spark.sparkContext.broadcast({(r["dim"], r["b"], r["cell"]): -(-r["n"] // TILE) for r in sizes.where(F.col("n") > TILE).collect()})
+    # cells of more than TILE rows are cut; where these are more than can be broadcast, tiles are larger
+    sizes = Kept(sizes.where(F.col("n") > TILE), "cells").df
+    tile, many = TILE, sizes.count()
+    if many > BROADCAST_ROWS:
+        tile = max(TILE, sizes.agg(F.percentile_approx("n", 1 - BROADCAST_ROWS / many, 10_000)).first()[0])
+    cut = spark.sparkContext.broadcast({(r["dim"], r["b"], r["cell"]): -(-r["n"] // tile) for r in sizes.where(F.col("n") > tile).collect()})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

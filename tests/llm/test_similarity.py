@@ -56,6 +56,8 @@ def near(vectors, threshold=0.9):
 def test_embeddings(spark, monkeypatch, tile, dim):
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
     monkeypatch.setattr(embedding_dedup, "PAIRS", 200)
+    monkeypatch.setattr(embedding_dedup, "BAND", 5)
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_ROWS", 3 if dim == 3 else 200_000)
     rng = np.random.default_rng(dim)
     base = rng.normal(size=(60, dim))
     noisy = base[rng.integers(0, 12, 60)] + rng.normal(size=(60, dim)) * rng.choice([0, 0.1, 0.35, 0.5], (60, 1))
