@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one under /tmp only where that is unset (local runs)."""
+    """The folder of ``spark.checkpoint.dir``; one under /tmp only where that is unset and the master is local."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"file:///tmp/checkpoints/{sc.applicationId}"
 
 
@@ -73,6 +79,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """At a task's end in a Python worker, which later tasks use again: gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def packed(carry: tuple[str, ...]) -> Column:
     """The carried columns as one struct, so that no name of theirs clashes with an operator's own."""
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))

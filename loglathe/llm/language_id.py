@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import bound_arrow, empty_text, packed, unpacked
+from .common import bound_arrow, empty_text, packed, release, unpacked
 
 SAMPLE_DOCS, SAMPLE_BYTES = 160, 1000
 CHUNK, LEVEL, MIN_MATCH = 4096, 3, 3
@@ -101,5 +101,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str, .
                 [batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["row", "lang_pred", "score", "rejected"],
             )
+        release()
 
     return rows.mapInArrow(judge, schema).select(*unpacked(carry, ("lang_pred", "score", "rejected")))

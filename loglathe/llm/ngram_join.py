@@ -37,12 +37,12 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Kept, bound_arrow, packed, unpacked
+from .common import BROADCAST_ROWS, Kept, bound_arrow, packed, release, unpacked
 from .components import components
 
 #: The sketch has about a counter (one byte: a level) for every BYTES_EACH bytes of text, so that it tells
-#: as much at any size, but 2 ** 26 at most; counters to a chunk of it.
-BYTES_EACH, LEAST_BITS, MOST_BITS, CHUNK = 12, 16, 26, 1 << 16
+#: as much at any size, but 2 ** 25 at most; counters to a chunk of it.
+BYTES_EACH, LEAST_BITS, MOST_BITS, CHUNK = 12, 16, 25, 1 << 16
 
 
 #: What a counter's byte says: counts up to 64, then steps of 8 %.
@@ -54,7 +54,7 @@ def sketch_bits(docs: DataFrame, text: str) -> int:
     return min(MOST_BITS, max(LEAST_BITS, round(np.log2(max(1, total / BYTES_EACH)))))
 
 #: Shingles gathered before they are counted; bounds of l, as a number and as a part of n.
-GATHER, LONGEST, SHARE = 6_000_000, 8, 32
+GATHER, LONGEST, SHARE = 3_000_000, 8, 32
 #: Other documents that a shingle has unseen by the sketch, and what verifying costs, in postings a shingle.
 UNSEEN, VERIFY = 0.05, 0.5
 SIMILAR = 80
@@ -125,6 +125,8 @@ def describe(docs: DataFrame, id_col: str, text: str, bits: int) -> Kept:
                 parts, held = [], 0
         if parts:
             yield from counted()
+        parts.clear()
+        release()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tid"), F.col(f"`{text}`").alias("text"))
     return Kept(rows.mapInArrow(run, "doc_id long, tid long, sid long, n long, chunk int, counts binary"), "sets")
@@ -201,6 +203,7 @@ def postings(docs: DataFrame, text: str, shared: Broadcast, total: int) -> DataF
                     ],
                     names=["token", "sid", "n", "l", "pos", "parts", "part"],
                 )
+        release()
 
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, sid long, n int, l int, pos int, parts int, part int")
 
@@ -242,6 +245,7 @@ def compared(docs: DataFrame, text: str, described: DataFrame, pairs: Kept, coun
                     seen.add(sid)
                     sids.append(sid), raws.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(raws, pa.binary())], names=["sid", "raw"])
+        release()
 
     whole = Kept(chosen.select("text").mapInArrow(hashed, "sid long, raw binary"), "candidates")
     unique = whole.df.groupBy("sid").agg(F.any_value("raw").alias("raw"))

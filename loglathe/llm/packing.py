@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, Kept, bound_arrow, empty_text, packed, unpacked
+from .common import BROADCAST_ROWS, Kept, bound_arrow, empty_text, packed, release, unpacked
 
 CAPACITY = 4096
 #: A length is large above capacity / LARGE; rows ranked together.
@@ -75,6 +75,7 @@ def tokenized_pieces(docs: DataFrame, carry: tuple[str, ...], tokenizer: str, sp
                 yield pa.RecordBatch.from_arrays(
                     [held, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row", "piece", "start", "length", "ids_crc32"],
                 )
+        release()
 
     return rows.mapInArrow(cut, schema)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, empty_text, new_path, partitions
+from .common import bound_arrow, empty_text, new_path, partitions, release
 
 #: Bytes of text a file aims at, where that makes more files than Spark makes shuffle partitions; ids that one task reads back.
 FILE_BYTES, READ_IDS, READ_DOCS = 256 << 20, 16 << 20, 4000
@@ -60,6 +60,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, spa
                         at += n
                 docs_n += len(ids)
             writer.finish()
+        release()
         if not docs_n:
             store.delete_file(own)
             return
