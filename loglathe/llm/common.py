@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,20 @@ def _clean(spark: SparkSession, app: str) -> None:
             return
 
 
+_passing: list[list[Kept]] = []
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Tables that are kept inside are removed at its end, but for those told to stay."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for kept in _passing.pop():
+            kept.drop()
+
+
 class Kept:
     """A table written to the shared folder: cuts lineage, survives lost executors, keeps column pruning."""
 
@@ -66,6 +81,16 @@ class Kept:
         self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _passing:
+            _passing[-1].append(self)
+
+    def stay(self) -> Kept:
+        """Not removed at the end of the innermost ``passing``, but with what encloses it."""
+        if _passing and self in _passing[-1]:
+            _passing[-1].remove(self)
+            if len(_passing) > 1:
+                _passing[-2].append(self)
+        return self
 
     def drop(self) -> None:
         remove(self.spark, self.path)

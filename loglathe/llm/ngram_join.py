@@ -37,7 +37,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Kept, bound_arrow, packed, release, unpacked
+from .common import BROADCAST_ROWS, Kept, bound_arrow, packed, passing, release, unpacked
 from .components import components
 
 #: The sketch has about a counter (one byte: a level) for every BYTES_EACH bytes of text, so that it tells
@@ -445,7 +445,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Documents without words stay.  Of wholly equal (id, text) rows of a component one stays.
     """
-    joined = Kept(near_duplicates(docs, id_col, text), "joined").df
+    with passing():
+        joined = Kept(near_duplicates(docs, id_col, text), "joined").stay().df
     own = joined.where("n_shingles > 0")
     best = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("best")).select("root", "best.doc_id", "best.tid")
     same = (F.col("o.root") == F.col("k.root")) & F.col("o.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("o.tid") == F.col("k.tid"))
