@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import language_id, mixing, ngram_join, packing
-from loglathe.llm.common import Kept, packed, table, unpacked
+from loglathe.llm.common import Kept, packed, passing, table, unpacked
 from loglathe.llm.queries import tokenizer
 
 ORACLE_SQL = None
@@ -57,9 +57,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what lies between them is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = Kept(docs, name).df
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with passing():
+            kept = Kept(stage(spark, docs, sf_dir), name).stay()
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
+    return STAGES[-1][1](spark, docs, sf_dir)
