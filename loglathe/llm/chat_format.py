@@ -198,7 +198,7 @@ def unescape(text: Column) -> Column:
     out = text
     for raw, code in (("<", "\\l"), ("#", "\\h"), (":", "\\c"), ("\\", "\\s")):
         out = F.replace(out, F.lit(code), F.lit(raw))
-    return out
+    return F.when(F.contains(text, F.lit("\\")), out).otherwise(text)  # most texts hold none
 
 
 def running(lens: Column) -> Column:
@@ -228,17 +228,18 @@ def format_turns(records: DataFrame) -> DataFrame:
     out = records.withColumn("_pieces", pieces)
     out = out.withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
     lens = F.transform("_pieces", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.lit(len(END)))
+    # lengths are a column of their own, and starts an argument: in a lambda they would be made again for each turn
+    out = out.withColumn("_lens", lens)
     spans = F.transform(
-        F.col("_pieces"),
-        lambda p, i: F.struct(
-            i.alias("turn"), p["loss"].alias("loss"),
-            (F.get(F.col("_starts"), i) + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).alias("length"),
+        F.arrays_zip(F.col("_pieces").alias("p"), running(F.col("_lens")).alias("at")),
+        lambda x, i: F.struct(
+            i.alias("turn"), x["p"]["loss"].alias("loss"),
+            (x["at"] + F.char_length(x["p"]["head"])).alias("start"), F.char_length(x["p"]["body"]).alias("length"),
         ),
     )
-    out = out.withColumn("_starts", running(lens))
     return out.withColumn(
         "loss_spans", F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["turn"], s["start"], s["length"]))
-    ).drop("_pieces", "_starts")
+    ).drop("_pieces", "_lens")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -248,20 +249,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
     that turn raises an error.
     """
     whole = F.split("formatted", END.replace("\n", r"\n"), -1)
-    parts = F.transform(
-        F.filter(whole, lambda s: s != ""),
-        lambda s: F.struct(
-            unescape(F.regexp_extract(s, r"(?s)^### ([^:]*): ", 1)).alias("role"),
-            unescape(F.regexp_replace(s, r"(?s)^### [^:]*: ", "")).alias("text"),
-        ),
-    )
-    out = formatted.withColumn("read_turns", parts).withColumn("_segments", whole)
-    out = out.withColumn("_starts", running(F.transform("_segments", lambda s: F.char_length(s) + F.lit(len(END)))))
+    def parts(s: Column) -> Column:
+        colon = F.instr(s, ": ")  # the first, as a role holds none
+        role = F.substring(s, F.lit(len(LEAD) + 1), colon - F.lit(len(LEAD) + 1))
+        return F.struct(role.alias("role"), F.substring(s, colon + 2, F.char_length(s)).alias("text"))
+
+    raw = F.transform(F.filter(whole, lambda s: s != ""), parts)
+    turns = F.transform(raw, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+    out = formatted.withColumn("read_turns", turns).withColumn("_segments", whole)
+    out = out.withColumn("_lens", F.transform("_segments", lambda s: F.char_length(s) + F.lit(len(END))))
+    out = out.withColumn("_starts", running(F.col("_lens")))
 
     def cut(span: Column) -> Column:
         segment, at = F.get(F.col("_segments"), span["turn"]), span["start"] - F.get(F.col("_starts"), span["turn"])
         inside = (at >= 0) & (span["length"] >= 0) & (at + span["length"] <= F.char_length(segment))
         outside = F.raise_error(F.lit("a loss span that is not inside its turn")).cast("string")
-        return F.when(inside, unescape(F.substring(segment, (at + 1).cast("int"), span["length"].cast("int")))).otherwise(outside)
+        return F.when(inside, F.substring(segment, (at + 1).cast("int"), span["length"].cast("int"))).otherwise(outside)
 
-    return out.withColumn("loss_text", F.array_join(F.transform("loss_spans", cut), "")).drop("_segments", "_starts")
+    return out.withColumn("loss_text", F.array_join(F.transform(F.transform("loss_spans", cut), unescape), "")).drop("_segments", "_lens", "_starts")
