@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 #: Most atoms kept (about 170 bytes each); beyond it only those met in more than one batch stay.
 CACHE_ATOMS = 500_000
 #: Bytes of text encoded together.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 #: Atoms encoded in one text, and those that may be: no white space but a space in front.
