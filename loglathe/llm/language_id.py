@@ -6,7 +6,7 @@ fewest bytes wins, among equals the one with more training rows.  Texts and dict
 case with every run of other characters than letters as one space.  ``score`` is the softmax of the bits
 saved.  A text is *rejected* if it has no letter, or if its second smallest size is less than ``margin`` times
 the square root of the smallest above it, as sizes scatter by about that.  Of the held-out rows at sf0.1 that are 0.6 %
-(a quarter of them misjudged; most are of a few letters or one repeated word), of random letters nine tenths.
+(a quarter of them misjudged; most are of a few letters or one repeated word), of texts of random letters most.
 
 Dictionaries are fitted on a bounded sample: up to ``SAMPLE_DOCS`` documents a language, the smallest by the
 hash of their id, of which up to ``SAMPLE_BYTES`` bytes each enter it.  Every text is then read whole.
