@@ -70,6 +70,33 @@ def test_embeddings(spark, monkeypatch, tile, dim):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_vectors_are_shuffled_once(spark, monkeypatch):
+    # vectors that no low-dimensional range separates, and many times more blocks than on small tables
+    monkeypatch.setattr(embedding_dedup, "TILE", 128)
+    vectors = np.random.default_rng(5).normal(size=(4000, 64)).astype(np.float32)
+    vectors[1::400] = vectors[::400] * 2
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>")
+    before = shuffled()
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert sum(n for stage, n in shuffled().items() if stage not in before) < 10 * len(vectors)
+    assert sorted((r["vec_id"], r["component_id"]) for r in got if r["n_links"]) == sorted((i + k, i) for i in range(0, 4000, 400) for k in (0, 1))
+
+
+def test_copies_share_a_leaf():
+    x = embedding_dedup.unit_rows(np.random.default_rng(6).normal(size=(501, 64)))
+    space = embedding_dedup.Space(64, x.T @ x, 0.9)
+    space.grow(x, 64)
+    assert len(space.cut) == 63
+    assert space.leaf(x).tolist() == [space.leaf(x[k : k + 1])[0] for k in range(len(x))]
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [inf, 1.0]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (8, [1.0]), (9, [-1.0]), (None, [1.0, 2.0]), (6, [1.0, 2.0]), (10, [0.0, -0.0, 1.0]), (11, [-0.0, 0.0, 1.0])]
