@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one narrow (at most about 100 bytes) broadcast table; above it a shuffled join is used.
 BROADCAST_ROWS = 200_000
+#: Rows of one file of a narrow table whose number of rows is bounded beforehand.
+FILE_ROWS = 100_000
 
 _ours: dict[str, list[str]] = {}
 
@@ -74,10 +76,16 @@ def passing() -> Iterator[None]:
 
 
 class Kept:
-    """A table written to the shared folder: cuts lineage, survives lost executors, keeps column pruning."""
+    """A table written to the shared folder: cuts lineage, survives lost executors, keeps column pruning.
 
-    def __init__(self, df: DataFrame, name: str):
+    ``rows``, where a bound is known, bounds the files too: on local folders Hadoop starts about three processes a file
+    (chmod), each of which shares all memory of its executor for a moment.
+    """
+
+    def __init__(self, df: DataFrame, name: str, rows: int | None = None):
         self.spark = df.sparkSession
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

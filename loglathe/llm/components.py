@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from .common import Kept
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a, b: longs) -> (id, component_id) of every node with an edge; the smallest id names a component."""
+def _summary(edges: Kept) -> tuple:
+    return tuple(edges.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame, rounds: int = 60, most: int | None = None) -> DataFrame:
+    """edges (a, b: longs; at most ``most``, if given) -> (id, component_id) of every node with an edge; the smallest id names a component."""
     # (u, v) with u > v: v is a smaller node of the same component
-    now = Kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = Kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", most)
+    before = _summary(now)
     for _ in range(rounds):
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of u go to the smallest of u and its neighbours
@@ -25,12 +30,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours go to the smallest of them
         least = star.groupBy("u").agg(F.min("v").alias("m"))
         tied = star.join(least, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
-        new = Kept(tied.where("u > v").distinct(), "edges")
-        before, after = (x.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, new))
+        new = Kept(tied.where("u > v").distinct(), "edges", before[0])  # a round makes no more edges than there were
+        after = _summary(new)
         now.drop()
         now = new
-        if tuple(before) == tuple(after):
+        if before == after:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     ends = now.df.select("v").distinct()

@@ -232,7 +232,8 @@ def compared(docs: DataFrame, text: str, described: DataFrame, pairs: Kept, coun
     from .shingles import set_id, sets
 
     wanted = pairs.df.select(F.col("a").alias("sid")).unionByName(pairs.df.select(F.col("b").alias("sid"))).distinct()
-    texts = Kept(described.where("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).select("tid").distinct(), "texts")
+    n = pairs.df.count()
+    texts = Kept(described.where("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).select("tid").distinct(), "texts", 2 * n)
     some = F.broadcast(texts.df) if texts.df.count() <= BROADCAST_ROWS else texts.df
     chosen = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tid")).join(some, "tid", "left_semi")
 
@@ -251,7 +252,7 @@ def compared(docs: DataFrame, text: str, described: DataFrame, pairs: Kept, coun
     unique = whole.df.groupBy("sid").agg(F.any_value("raw").alias("raw"))
     # the documents to be compared with one b, TOGETHER at a time: b's own set comes first, once for all of them
     many = pairs.df.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    dealt = Kept(pairs.df.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")), "dealt")
+    dealt = Kept(pairs.df.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")), "dealt", n)
     members = dealt.df.join(unique.withColumnRenamed("sid", "a"), "a").select("b", "part", "a", "raw")
     centres = dealt.df.select("b", "part").distinct().join(unique.withColumnRenamed("sid", "b"), "b").select("b", "part", F.lit(None).cast("bigint").alias("a"), "raw")
     rows = members.unionByName(centres).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
@@ -345,11 +346,12 @@ def outside_pairs(refs: DataFrame, named: DataFrame) -> DataFrame:
     return out
 
 
-def cross_pairs(found: DataFrame, named: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+def cross_pairs(found: DataFrame, named: DataFrame, refs: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Pairs across components that can still link: near in size, sharing as many prefix shingles as they need,
     with enough shingles left behind the last shared one; without those that ``outside_pairs`` finds.
 
-    found: (token, sid, n, l, pos); named: (sid, root); refs: (sid, c, n, o), at most two rows a document.
+    found: (token, sid, n, l, pos), at most ``most`` rows, if given; named: (sid, root); refs: (sid, c, n, o), at most two
+    rows a document.
     """
     spark = found.sparkSession
     if refs is None:
@@ -367,14 +369,14 @@ def cross_pairs(found: DataFrame, named: DataFrame, refs: DataFrame | None = Non
     )
     of_set = first.join(named, "sid", "left").join(ends, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("apart", F.coalesce("apart", F.lit(False)))
     rows = found.join(of_set, "sid").withColumn("cap", F.expr(f"{100 + SIMILAR} * (n - first)"))
-    rows = Kept(rows.where(F.expr(f"100 * cap >= {SIMILAR * (100 + SIMILAR)} * n")).drop("first"), "rows")
+    rows = Kept(rows.where(F.expr(f"100 * cap >= {SIMILAR * (100 + SIMILAR)} * n")).drop("first"), "rows", most)
     per = rows.df.groupBy("token", "root").agg(F.count("*").alias("m"))
     main = per.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
     other = rows.df.where("apart").groupBy("token", "c1").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "c1")).alias("other"))
     # of these two kinds of rows that need not meet among themselves, the more
     kinds = main.join(other, "token", "left").select("token", F.col("top.root").alias("main"), F.when(F.col("other.m") > F.col("top.m"), F.col("other.c1")).alias("ref"))
     shut = F.when(F.col("ref").isNull(), F.col("root") == F.col("main")).otherwise(F.col("apart") & F.col("c1").eqNullSafe(F.col("ref")))
-    split = Kept(rows.df.join(kinds, "token").select("token", "sid", "root", "n", "l", "pos", "cap", "c1", "o1", "c2", "o2", shut.alias("shut")), "split")
+    split = Kept(rows.df.join(kinds, "token").select("token", "sid", "root", "n", "l", "pos", "cap", "c1", "o1", "c2", "o2", shut.alias("shut")), "split", rows.df.count())
     rows.drop()
     elsewhere = [f"(c{i}_a = c{j}_b and {NEED} > least(o{i}_a, o{j}_b))" for i in (1, 2) for j in (1, 2)]
     elsewhere += [f"(c{i}_a = b and {NEED} > o{i}_a)" for i in (1, 2)] + [f"(c{i}_b = a and {NEED} > o{i}_b)" for i in (1, 2)]
@@ -418,18 +420,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     offers = found.df.select("sid", "l", offers.alias("o")).select("sid", "l", "o.kind", "o.end").where("sid <> end")
     offers = offers.groupBy("sid", "l", "kind", "end").agg(F.count("*").alias("votes")).where("votes >= l")
     best = offers.groupBy("sid", "kind").agg(F.max(F.struct("votes", "end")).alias("top")).select("sid", F.col("top.end").alias("end"))
-    pairs = Kept(best.select(F.col("sid").alias("a"), F.col("end").alias("b")).distinct(), "pairs")
+    n = rows.count()
+    pairs = Kept(best.select(F.col("sid").alias("a"), F.col("end").alias("b")).distinct(), "pairs", 2 * n)
     met = compared(docs, text, rows, pairs, shared)
     links = links_of(met.df)
-    named = Kept(components(links).select(F.col("id").alias("sid"), F.col("component_id").alias("root")), "named")
+    named = Kept(components(links, most=2 * n).select(F.col("id").alias("sid"), F.col("component_id").alias("root")), "named", n)
     refs = met.df.where("rest is not null").select(F.col("a").alias("sid"), F.col("b").alias("c"), F.col("n_a").alias("n"), F.col("common").alias("o"), "rest")
-    across = cross_pairs(found.df.select("token", "sid", "n", "l", "pos").distinct(), named.df, refs)
+    across = cross_pairs(found.df.select("token", "sid", "n", "l", "pos").distinct(), named.df, refs, found.df.count())
     more = Kept(across.unionByName(outside_pairs(refs, named.df)).distinct(), "pairs")
     found.drop()
     pairs.drop()
     if not more.df.isEmpty():
         again = compared(docs, text, rows, more)
-        named = Kept(components(links.unionByName(links_of(again.df))).select(F.col("id").alias("sid"), F.col("component_id").alias("root")), "named")
+        both = links.unionByName(links_of(again.df))
+        named = Kept(components(both, most=2 * n + more.df.count()).select(F.col("id").alias("sid"), F.col("component_id").alias("root")), "named", n)
 
     least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     rooted = least.join(named.df, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -450,7 +454,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     own = joined.where("n_shingles > 0")
     best = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("best")).select("root", "best.doc_id", "best.tid")
     same = (F.col("o.root") == F.col("k.root")) & F.col("o.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("o.tid") == F.col("k.tid"))
-    gone = Kept(own.alias("o").join(best.alias("k"), same, "left_anti").select("doc_id", "tid").distinct(), "gone")
+    gone = Kept(own.alias("o").join(best.alias("k"), same, "left_anti").select("doc_id", "tid").distinct(), "gone", joined.count())
     lost = F.broadcast(gone.df) if gone.df.count() <= BROADCAST_ROWS else gone.df
     keyed = docs.select(packed(tuple(docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tid"))
     match = F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.tid") == F.col("g.tid"))

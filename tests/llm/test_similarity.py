@@ -2,7 +2,9 @@
 
 import random
 import re
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ import zstandard
 from loglathe.llm import embedding_dedup, language_id, ngram_join, queries, shingles
 from loglathe.llm.components import components
 
+components_module = sys.modules["loglathe.llm.components"]
+
 
 def groups(pairs, nodes=()):
     root = {n: n for n in nodes}
@@ -37,6 +41,29 @@ def test_components(spark, edges):
     assert got == groups([e for e in edges if e[0] != e[1]])
 
 
+def test_files_follow_rows(spark, monkeypatch):
+    files = []
+
+    class Counting(components_module.Kept):
+        def __init__(self, *args):
+            super().__init__(*args)
+            files.append(len(list(Path(self.path.removeprefix("file://")).glob("part-*"))))
+
+    monkeypatch.setattr(components_module, "Kept", Counting)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+        assert {r["component_id"] for r in components(edges).collect()} == {0}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # of the first table, no bound was given
+    assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 # embeddings
 
 def near(vectors, threshold=0.9):
