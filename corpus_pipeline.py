@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicate removal, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all of docs, and returns a DataFrame; all but the last
-return the columns of docs, which the next stage gets as reread from Parquet.
+return the columns of docs, which the next stage gets as reread from Parquet.  All but the first have the executors
+give back the memory that the stage before needed no longer than it ran.
 
 * ``language_id`` learns from the labelled rows of docs that are not held out, and drops what it rejects.
 * ``ngram_join`` keeps the first document of each group of near duplicates (five words, 0.8).
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import language_id, mixing, ngram_join, packing
-from loglathe.llm.common import Kept, packed, passing, table, unpacked
+from loglathe.llm.common import Kept, packed, passing, settle, table, unpacked
 from loglathe.llm.queries import tokenizer
 
 ORACLE_SQL = None
@@ -36,14 +37,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1)
 
 

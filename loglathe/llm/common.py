@@ -119,6 +119,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between stages: the executors collect their garbage and give the heap that this frees back to the system.
+
+    A heap that has grown to its limit stays there, beside the Python workers of the next stage, which need their own memory.
+    A task a core; where Spark deals them unevenly, an executor may be left out, which changes no results.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def packed(carry: tuple[str, ...]) -> Column:
     """The carried columns as one struct, so that no name of theirs clashes with an operator's own."""
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))

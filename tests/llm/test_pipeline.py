@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loglathe.llm import fingerprint, html_text, packing, queries
-from loglathe.llm.common import Kept
+from loglathe.llm.common import Kept, settle
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -58,3 +58,24 @@ def test_carried_columns(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_give_memory_back(spark):
+    jvm = spark._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+
+    def whole_collections():
+        return sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        before = whole_collections()
+        stage(spark, docs, FOLDER)
+        assert whole_collections() > before
+    held = [spark.sparkContext._gateway.new_array(jvm.long, 16 << 20) for _ in range(8)]  # 1 GB
+    grown = heap.totalMemory()
+    for x in held:
+        spark.sparkContext._gateway.detach(x)
+    held.clear()
+    settle(spark)
+    assert heap.totalMemory() <= grown - (512 << 20)
