@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, fingerprint, html_text, language_id, mixing, ngram_join, packing, token_output, url_filter
+from . import (
+    chat_format, embedding_dedup, fill_middle, fingerprint, html_text, language_id, line_dedup, mixing, ngram_join, packing, source_divergence, token_output,
+    url_filter,
+)
 from .common import table
 
 #: The rules to judge urls by.
@@ -88,6 +91,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.arrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n", "form", *[F.char_length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")],
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
@@ -99,6 +119,9 @@ QUERIES = {
     "op5_fingerprint": op5_fingerprint,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE = {
@@ -148,5 +171,46 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
     sum(n)::bigint as formatted_chars
 from e group by conv_id
+""",
+    "op11_source_divergence": r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as materialized (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as materialized (select lang, term from w group by all having count(distinct id) >= 30),
+g as materialized (select distinct lang, source from d),
+v as (select lang, count(*) as v from k group by lang),
+c as (select lang, source, term, count(*) as c from w join k using (lang, term) group by all),
+gc as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c from g join k using (lang) left join c using (lang, source, term)),
+gp as materialized (select lang, source, term, c, 1 + (1000000000 * (c::hugeint + 5)) // (sum(c) over (partition by lang, source) + 5 * v) as p from gc join v using (lang)),
+lp as (select lang, term, 1 + (1000000000 * (c + 5)) // (sum(c) over (partition by lang) + 5 * v) as q
+    from (select lang, term, sum(c)::hugeint as c from gc group by all) join v using (lang)),
+p as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from gp a join gp b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+t as (select lang, source, term as item, p - q as value from gp join lp using (lang, term) where c > 0 and p > q),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join p on p.lang = a.lang and p.source = a.source and p.item = b.source
+    union all select lang, source, 'term', item, value from t),
+n as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r)
+select lang, source, part, item, value::bigint as value, rank::int as rank from n where part = 'pair' or rank <= 50
+""",
+    "op12_line_dedup": r"""
+with d as (select row_number() over () as n, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select n, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
+k as materialized (select *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key from l),
+h as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3)
+select doc_id, count(*) as n_lines, count(*) filter (doc_id <> last) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (last is null or doc_id = last), '')) as kept_sha256
+from k left join h using (key) group by doc_id, n
+""",
+    "op13_fill_middle": r"""
+with u as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || doc_id) as h from documents),
+h as (select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from u),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+p as (select doc_id, text, n, form, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from f)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(text) as restored_sha256
+from p
 """,
 }

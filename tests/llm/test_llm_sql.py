@@ -11,5 +11,5 @@ def test_query(spark, name):
     assert same(queries.QUERIES[name](spark, SMALL), queries.ORACLE[name]) > 0
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))

@@ -303,6 +303,6 @@ def test_rules_are_those_of_the_query():
     assert len(queries.URL_RULES) == 5
 
 
-@pytest.mark.parametrize("name", ["op3_url_filter", "op5_fingerprint", "op9_chat_format", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op3_url_filter", "op5_fingerprint", "op9_chat_format", "op10_mixing", "op12_line_dedup", "op13_fill_middle"])
 def test_native_plans_hold_no_python(spark, name):
     assert not NO_PYTHON.search(plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001")))
