@@ -42,13 +42,13 @@ def assign_sequence(df: DataFrame, order: str, ties: tuple[str, ...] = (), name:
     return numbered.withColumn(name, F.col("_k") + F.col("_base")).drop("_range", "_k", "_base")
 
 
-def assign_batches(df: DataFrame, rows: int, sequence: str = "sequence", producer: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``batch_id``: every producer's rows in sequence order, ``rows`` to a batch.
+def positions(df: DataFrame, sequence: str = "sequence", producer: str | None = None, name: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """0-based places in the order of a sequence, of every producer's rows by themselves.
 
-    Without producers a gapless 1-based sequence already says the batch, and nothing is shuffled.
+    Without producers a gapless 1-based sequence already says the place, and nothing is shuffled.
     """
     if producer is None:
-        return df.withColumn("batch_id", F.floor((F.col(sequence) - 1) / rows).cast("bigint"))
+        return df.withColumn(name, F.col(sequence).cast("bigint") - 1)
     # a producer of very many rows is numbered in ranges of the sequence, with an offset for each
     keyed = df.withColumn("_range", range_of(F.col(sequence), range_bounds(df, F.col(sequence), range_rows)))
     counts = keyed.groupBy(producer, "_range").agg(F.count("*").alias("_n"))
@@ -57,5 +57,10 @@ def assign_batches(df: DataFrame, rows: int, sequence: str = "sequence", produce
     own = Window.partitionBy(producer, "_range").orderBy(sequence)
     same = F.col(producer).eqNullSafe(F.col("_producer")) & (F.col("_range") == F.col("_own"))
     numbered = keyed.withColumn("_k", F.row_number().over(own)).join(offsets, same)
-    batch = F.floor((F.col("_base") + F.col("_k") - 1) / rows).cast("bigint")
-    return numbered.withColumn("batch_id", batch).drop("_range", "_k", "_base", "_producer", "_own")
+    return numbered.withColumn(name, F.col("_base") + F.col("_k") - 1).drop("_range", "_k", "_base", "_producer", "_own")
+
+
+def assign_batches(df: DataFrame, rows: int, sequence: str = "sequence", producer: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``batch_id``: every producer's rows in sequence order, ``rows`` to a batch."""
+    placed = positions(df, sequence, producer, "_place", range_rows)
+    return placed.withColumn("batch_id", F.floor(F.col("_place") / rows).cast("bigint")).drop("_place")

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import endpoint as ip
 from ..functions import text
 from ..functions.entropy import shannon_entropy
-from ..operators import batching, dictionary, export, telemetry
+from ..operators import batching, dictionary, export, saturation, telemetry
 from ..operators.normalize import normalize
 from ..schema import Config
-from ..sources import generator, lines, shard, sinks
+from ..sources import generator, lines, scratch, shard, sinks
 from ..streaming import ingest
 from .log_view import log_view, traffic_report
 
@@ -45,39 +41,14 @@ FORMS = (
 
 #: Rows of a batch in the queries below, small enough for the test tables to have many.
 ROWS = 640
+#: Distinct values of a batch's dictionary in the queries of batches that close on these.
+SLOTS = 400
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_scratch_of: dict[str, list[str]] = {}
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors share, removed when the driver ends: below spark.checkpoint.dir, or in /tmp where that
-    is unset and the master is local."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir", None)
-    if not top and not re.fullmatch(r"local(\[.*\])?", sc.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(top or f'file:///tmp/checkpoints/{sc.applicationId}').rstrip('/')}/loglathe-{uuid.uuid4().hex[:12]}-{name}"
-    if sc.applicationId not in _scratch_of:
-        _scratch_of[sc.applicationId] = []
-        atexit.register(_clean, spark, sc.applicationId)
-    _scratch_of[sc.applicationId].append(path)
-    return path
-
-
-def _clean(spark: SparkSession, app: str) -> None:
-    for path in _scratch_of.pop(app, []):
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended before: nothing can be removed any more
-            return
-
-
 def _stored(spark: SparkSession, sf_dir: str, level: int = 0) -> DataFrame:
     return normalize(log_view(spark, sf_dir), Config(level=level))
 
@@ -154,6 +125,17 @@ def batch_assign(spark, sf_dir):
     return batching.assign_batches(rows, 16, "event_id", "user_id")
 
 
+def batch_dynamic(spark, sf_dir):
+    """Batches of 640 rows or 400 values of a dictionary, whichever comes first."""
+    return saturation.dynamic_batches(_stored(spark, sf_dir), ROWS, SLOTS, range_rows=2 * ROWS).select("sequence", "batch_id")
+
+
+def batch_saturated(spark, sf_dir):
+    """The same of each producer, whose batches shrink once a dictionary was full."""
+    rows = log_view(spark, sf_dir).withColumn("producer", F.pmod("data_size_bucket", F.lit(3)))
+    return saturation.dynamic_batches(rows, ROWS, SLOTS, producer="producer", shrink=True, range_rows=2 * ROWS).select("sequence", "producer", "batch_id")
+
+
 def dict_build(spark, sf_dir):
     return dictionary.build(_batched(spark, sf_dir))
 
@@ -232,7 +214,7 @@ def generated(spark, sf_dir):
 
 def _shards(spark, sf_dir) -> str:
     shard.register(spark)
-    path = _scratch(spark, "shards")
+    path = scratch.folder(spark, "shards")
     _stored(spark, sf_dir).write.format(shard.FORMAT).option("path", path).option("rows_per_batch", ROWS).option("flush_per_file", 4).mode("append").save()
     return path
 
@@ -251,7 +233,7 @@ def text_export(spark, sf_dir):
 
 
 def rotation(spark, sf_dir):
-    path = _scratch(spark, "rotated")
+    path = scratch.folder(spark, "rotated")
     config = Config(path=path, files=1, batch="500KB", compression="fast")
     sinks.write_events(_stored(spark, sf_dir), config)
     return spark.read.parquet(path).select("sequence", "resource", "endpoint", "http_code")
@@ -259,7 +241,7 @@ def rotation(spark, sf_dir):
 
 def rotation_files(spark, sf_dir):
     """Four copies of the events by one task, in files of 15,500 rows: the rows of each file."""
-    path = _scratch(spark, "rotated")
+    path = scratch.folder(spark, "rotated")
     config = Config(path=path, files=1, batch="500KB", compression="fast")
     rows = _stored(spark, sf_dir)
     sinks.write_events(rows.unionByName(rows).unionByName(rows).unionByName(rows).coalesce(1), config)
@@ -270,7 +252,7 @@ def rotation_files(spark, sf_dir):
 def _one_shard(spark, sf_dir) -> DataFrame:
     """The file of blocks that one task writes of all events, as a row of Spark's file reader."""
     shard.register(spark)
-    path = _scratch(spark, "shard")
+    path = scratch.folder(spark, "shard")
     rows = _stored(spark, sf_dir).repartitionByRange(1, "sequence").sortWithinPartitions("sequence")
     rows.write.format(shard.FORMAT).option("path", path).option("rows_per_batch", ROWS).mode("append").save()
     return shard.binary_files(spark, path)
@@ -298,18 +280,18 @@ def telemetry_blocks(spark, sf_dir):
 
 
 def stream_equals_batch(spark, sf_dir):
-    source, path = _scratch(spark, "source"), _scratch(spark, "stream")
+    source, path = scratch.folder(spark, "source"), scratch.folder(spark, "stream")
     raw = log_view(spark, sf_dir)
     raw.write.parquet(source)
     live = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    ingest.ingest(live, Config(path=path, level=2), _scratch(spark, "checkpoint")).awaitTermination()
+    ingest.ingest(live, Config(path=path, level=2), scratch.folder(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(path).select("sequence", "resource", "endpoint", "http_code")
 
 
 QUERIES = {
     "flagship": flagship, "strip_params": strip_params, "truncate_middle": truncate_middle, "null_resource": null_resource, "clip_endpoint": clip_endpoint,
     "classify_ip": classify_ip, **{f"anon_ip_l{k}": anon_ip(k) for k in range(1, 5)}, "format_timestamp": format_timestamp, "verb_decode": verb_decode,
-    "narrow_status": narrow_status, "dotted_quad": dotted_quad, "sequence": sequence, "batch_assign": batch_assign, "dict_build": dict_build,
+    "narrow_status": narrow_status, "dotted_quad": dotted_quad, "sequence": sequence, "batch_assign": batch_assign, "batch_dynamic": batch_dynamic, "batch_saturated": batch_saturated, "dict_build": dict_build,
     "dict_counts": dict_counts, "dict_encode": dict_encode, "dict_decode": dict_decode, "dict_decode_missing": dict_decode_missing, "roundtrip": roundtrip,
     "format_line": format_line, "filtered_decode": filtered_decode, "json_export": json_export, "telemetry": telemetry_counters,
     "compression_ratio": compression_ratio, "entropy_per_row": entropy_per_row, "entropy_mean": entropy_mean, "global_order": global_order,
@@ -334,6 +316,20 @@ dict as (select batch_id, kind, row_number() over (partition by batch_id, kind o
     union all select batch_id, 'endpoint', endpoint, min(sequence) from batched group by all))
 """.replace("recursive_free as (select 1), ", "")
 
+
+
+def _cut(source: str) -> str:
+    """Begins of batches one after another, from rows (producer, place from 0, resource, endpoint)."""
+    ordered = "(partition by producer, {} order by place rows between unbounded preceding and 1 preceding)"
+    return f""", marked as materialized (select producer, place, coalesce(max(place) over {ordered.format('resource')}, -1) as last_resource,
+        coalesce(max(place) over {ordered.format('endpoint')}, -1) as last_endpoint from {source}),
+    cuts as (select distinct producer, 0::bigint as begin, 0::bigint as batch_id, false as was_full from marked
+        union all select producer, coalesce(min(place) filter (r > {SLOTS} or e > {SLOTS}), max(place) + 1), batch_id + 1, count(*) filter (r > {SLOTS} or e > {SLOTS}) > 0
+        from (select c.producer, c.batch_id, m.place, sum((last_resource < c.begin)::int) over (partition by c.producer, c.batch_id order by place) as r,
+                sum((last_endpoint < c.begin)::int) over (partition by c.producer, c.batch_id order by place) as e
+            from cuts c join marked m on m.producer = c.producer and m.place between c.begin and c.begin + {ROWS - 1}) group by producer, batch_id)"""
+
+
 _VERBS = " ".join(f"when {k} then '{v}'" for k, v in enumerate(text.VERBS))
 
 
@@ -376,6 +372,14 @@ ORACLE = {
         from (select event_id, (event_id * 2654435761) % 4294967296 as a from events)""",
     "sequence": "select event_id, row_number() over (order by ts, event_id) as sequence from events",
     "batch_assign": "select event_id, user_id, (row_number() over (partition by user_id order by event_id) - 1) // 16 as batch_id from events",
+    "batch_dynamic": _VIEW.replace("with", "with recursive", 1) + ", placed as (select 0 as producer, sequence - 1 as place, resource, endpoint from stored)" + _cut("placed")
+    + " select sequence, batch_id from stored asof join cuts on sequence - 1 >= begin",
+    "batch_saturated": _VIEW.replace("with", "with recursive", 1)
+    + ", placed as (select data_size_bucket % 3 as producer, sequence, row_number() over (partition by data_size_bucket % 3 order by sequence) - 1 as place, resource, endpoint from log_view)"
+    + _cut("placed") + f""", first as (select producer, min(begin) as cut from cuts where was_full group by producer),
+    ids as (select f.producer, cut, batch_id from first f join cuts c on c.producer = f.producer and c.begin = f.cut)
+    select sequence, p.producer, case when place >= cut then i.batch_id + (place - cut) // {SLOTS - SLOTS // 32} else c.batch_id end as batch_id
+    from placed p asof join cuts c on p.producer = c.producer and p.place >= c.begin left join ids i on i.producer = p.producer""",
     "dict_build": _VIEW + "select * from dict",
     "dict_counts": _VIEW + "select batch_id, count(*) as rows, count(distinct resource) as resource_count, count(distinct endpoint) as endpoint_count from batched group by 1",
     "dict_encode": _VIEW + """select sequence, b.batch_id, u.id as url_idx, i.id as ip_idx from batched b
