@@ -17,29 +17,40 @@ class Node:
 
 
 class Trie:
-    """Tries of parts of a corpus merge into the trie of the whole: all counters are sums."""
+    """Tries of parts of a corpus merge into the trie of the whole: all counters are sums.
+
+    The first ``HEAD`` bytes of a term are looked up at once; below them every node has an edge a byte.
+    """
+
+    HEAD = 3
 
     def __init__(self) -> None:
-        self.root, self.leaves, self.bytes = Node(b""), 0, 0
+        self.heads: dict[bytes, Node] = {}
+        self.leaves = 0
 
     def leaf(self, term: bytes) -> Node:
         """The node at which term ends, made if it is not there."""
-        node, at, size = self.root, 0, len(term)
+        head = term[: self.HEAD]
+        node, at, size = self.heads.get(head), len(head), len(term)
+        if node is None:
+            node = self.heads[head] = Node(head)
         while at < size:
-            if node.edges is None:
-                node.edges = {}
-            child = node.edges.get(term[at])
+            edges = node.edges
+            if edges is None:
+                edges = node.edges = {}
+            byte = term[at]
+            child = edges.get(byte)
             if child is None:
-                child = node.edges[term[at]] = Node(term[at:])
-                self.bytes += size - at
-                at = size
-            elif term.startswith(child.label, at):
-                at += len(child.label)
+                node = edges[byte] = Node(term[at:])
+                break
+            label = child.label
+            if term.startswith(label, at):
+                at += len(label)
             else:  # the label is cut where it differs
-                label, same = child.label, 1
+                same = 1
                 while at + same < size and label[same] == term[at + same]:
                     same += 1
-                above = node.edges[term[at]] = Node(label[:same])
+                above = edges[byte] = Node(label[:same])
                 child.label = label[same:]
                 above.edges = {label[same]: child}
                 child, at = above, at + same
@@ -49,28 +60,28 @@ class Trie:
             self.leaves += 1
         return node
 
-    def count(self, source: int, counted: Iterable[tuple[bytes, int]]) -> None:
-        for term, n in counted:
-            counts = self.leaf(term).counts
-            counts[source] = counts.get(source, 0) + n
-
-    def documents(self, counted: Iterable[tuple[bytes, int]]) -> None:
-        for term, n in counted:
-            self.leaf(term).docs += n
+    def add(self, docs: dict[bytes, int], by_source: Iterable[tuple[int, dict[bytes, int]]]) -> None:
+        """Adds how many documents hold each term, and how often each source does; sources hold no other terms."""
+        at = {term: self.leaf(term) for term in docs}
+        for term, n in docs.items():
+            at[term].docs += n
+        for source, counted in by_source:
+            for term, n in counted.items():
+                counts = at[term].counts
+                counts[source] = counts.get(source, 0) + n
 
     def walk(self) -> Iterator[tuple[bytes, Node]]:
         """Terms and their leaves in the order of the bytes, which of UTF-8 is that of the code points."""
-        stack = [(b"", self.root)]
-        while stack:
-            before, node = stack.pop()
-            term = before + node.label
-            if node.counts is not None:
-                yield term, node
-            if node.edges:
-                stack.extend((term, node.edges[k]) for k in sorted(node.edges, reverse=True))
+        for head in sorted(self.heads):
+            stack = [(b"", self.heads[head])]
+            while stack:
+                before, node = stack.pop()
+                term = before + node.label
+                if node.counts is not None:
+                    yield term, node
+                if node.edges:
+                    stack.extend((term, node.edges[k]) for k in sorted(node.edges, reverse=True))
 
     def merge(self, other: Trie) -> None:
         for term, node in other.walk():
-            self.documents([(term, node.docs)])
-            for source, n in node.counts.items():
-                self.count(source, [(term, n)])
+            self.add({term: node.docs}, [(source, {term: n}) for source, n in node.counts.items()])

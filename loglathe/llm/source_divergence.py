@@ -21,8 +21,10 @@ are not looked at.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,22 +62,18 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _leaves(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
+def _leaves(tries: dict[str, Trie], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """All leaves, by language and bytes."""
     for lang in sorted(tries, key=str.encode):
-        held: list[tuple] = []
-
-        def batch(lang=lang, held=held) -> pa.RecordBatch:
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), list(_LEAF)[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), *cols], schema=_LEAF)
-
-        for term, node in tries[lang].walk():
-            held.append((term, node.docs, list(node.counts), list(node.counts.values())))
-            if len(held) == 10_000:
-                yield batch()
-                held.clear()
-        if held:
-            yield batch()
+        walk = tries[lang].walk()
+        while part := list(islice(walk, rows)):
+            offsets = pa.array(np.cumsum([0] + [len(node.counts) for _, node in part]), pa.int32())
+            sources = pa.array(chain.from_iterable(node.counts for _, node in part), pa.int32())
+            counts = pa.array(chain.from_iterable(node.counts.values() for _, node in part), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(part), pa.string()), pa.array([term for term, _ in part], pa.binary()), pa.array([node.docs for _, node in part], pa.int64()),
+                pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, counts),
+            ], schema=_LEAF)
 
 
 def count_terms(docs: DataFrame, groups: dict[tuple[str, str], int]) -> DataFrame:
@@ -90,13 +88,13 @@ def count_terms(docs: DataFrame, groups: dict[tuple[str, str], int]) -> DataFram
         holders: dict[str, Counter] = {}
 
         def fold() -> int:
-            for lang, counter in holders.items():
-                tries.setdefault(lang, Trie()).documents(counter.items())
-            for (lang, source), counter in here.items():
-                tries[lang].count(shared.value[lang, source], counter.items())
+            for lang, held in holders.items():
+                own = [(shared.value[k], counter) for k, counter in here.items() if k[0] == lang]
+                tries.setdefault(lang, Trie()).add(held, own)
             here.clear(), holders.clear()
             return sum(t.leaves for t in tries.values())
 
+        gc.disable()  # nodes and counters make no cycles: collections would walk them over and over
         for batch in batches:
             cols = [batch.column(k) for k in ("lang", "source")] + [batch.column("text").cast(pa.binary())]
             for lang, source, text in zip(*(c.to_pylist() for c in cols), strict=True):
@@ -111,6 +109,7 @@ def count_terms(docs: DataFrame, groups: dict[tuple[str, str], int]) -> DataFram
         fold()
         yield from _leaves(tries)
         tries.clear()
+        gc.enable()
         release()
 
     return docs.mapInArrow(run, _LEAF_SQL)

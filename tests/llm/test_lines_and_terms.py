@@ -185,8 +185,7 @@ def test_tries_merge():
     whole, parts = Trie(), [Trie() for _ in range(4)]
     for k, w in enumerate(words):
         for t in (whole, parts[k % 4]):
-            t.count(k % 5, [(w, 1)])
-            t.documents([(w, 2)])
+            t.add({w: 2}, [(k % 5, {w: 1})])
     for other in parts[1:]:
         parts[0].merge(other)
     told = [[(w, node.docs, sorted(node.counts.items())) for w, node in t.walk()] for t in (whole, parts[0])]
