@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import endpoint as ip
@@ -239,46 +239,96 @@ def rotation(spark, sf_dir):
     return spark.read.parquet(path).select("sequence", "resource", "endpoint", "http_code")
 
 
+def _grouped(rows: DataFrame, n: int) -> DataFrame:
+    """Dealt to tasks by runs of n of the sequence, in their order: every task has whole runs, but for the last run of all."""
+    return rows.repartition(F.floor((F.col("sequence") - 1) / n)).sortWithinPartitions("sequence")
+
+
 def rotation_files(spark, sf_dir):
-    """Four copies of the events by one task, in files of 15,500 rows: the rows of each file."""
+    """Four copies of the events in files of 15,500 rows: the rows of each file."""
     path = scratch.folder(spark, "rotated")
     config = Config(path=path, files=1, batch="500KB", compression="fast")
     rows = _stored(spark, sf_dir)
-    sinks.write_events(rows.unionByName(rows).unionByName(rows).unionByName(rows).coalesce(1), config)
-    per = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
-    return per.select(F.row_number().over(Window.orderBy(F.desc("rows"))).alias("place"), "rows")
+    copies = rows.withColumn("sequence", F.explode(F.sequence(F.col("sequence"), F.col("sequence") + 3 * rows.count(), F.lit(rows.count()))))
+    sinks.write_events(_grouped(copies, config.rows_per_file), config)
+    per = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), F.min("sequence").alias("first"))
+    return per.select((F.floor((F.col("first") - 1) / config.rows_per_file) + 1).cast("int").alias("place"), "rows")
+
+
+#: Blocks of a file in the queries below.
+FILE_BLOCKS = 4
 
 
-def _one_shard(spark, sf_dir) -> DataFrame:
-    """The file of blocks that one task writes of all events, as a row of Spark's file reader."""
+def _blocks(spark, sf_dir, **options: str) -> str:
+    """A folder of files of four blocks, which hold the events by runs of their sequence."""
     shard.register(spark)
-    path = scratch.folder(spark, "shard")
-    rows = _stored(spark, sf_dir).repartitionByRange(1, "sequence").sortWithinPartitions("sequence")
-    rows.write.format(shard.FORMAT).option("path", path).option("rows_per_batch", ROWS).mode("append").save()
-    return shard.binary_files(spark, path)
+    path = scratch.folder(spark, "blocks")
+    rows = _grouped(_stored(spark, sf_dir), FILE_BLOCKS * ROWS)
+    rows.write.format(shard.FORMAT).option("path", path).option("rows_per_batch", ROWS).option("flush_per_file", FILE_BLOCKS).options(**options).mode("append").save()
+    return path
 
 
 def text_export_headers(spark, sf_dir):
-    """Headers of blocks and the marker of a damaged one, which is added at the end of the file."""
+    """Headers of blocks and the marker of a damaged one, which is added at the end of every file."""
     damaged = F.to_binary(F.lit("1000000010000000" + "78" * 16), F.lit("hex"))
-    files = _one_shard(spark, sf_dir).select("path", F.concat("content", damaged).alias("content"))
+    files = shard.binary_files(spark, _blocks(spark, sf_dir)).select("path", F.concat("content", damaged).alias("content"))
     return export.text_export(shard.decode_files(files))
 
 
 def block_sizes(spark, sf_dir):
-    sizes = shard.block_sizes(_one_shard(spark, sf_dir))
+    sizes = shard.block_sizes(shard.binary_files(spark, _blocks(spark, sf_dir)))
     return sizes.select("block", "raw_bytes", (F.col("stored_bytes") < F.col("raw_bytes")).alias("compressed"))
 
 
+def block_ratio(spark, sf_dir):
+    """The mean ratio of blocks as they lie in files: compressed, which no other engine does alike, and as they are."""
+    out = None
+    for how in ("balanced", "none"):
+        blocks = shard.block_sizes(shard.binary_files(spark, _blocks(spark, sf_dir, compression=how)))
+        ratio = telemetry.compression_ratio()
+        row = blocks.agg(F.lit(how).alias("compression"), F.count("*").alias("blocks"), F.sum("raw_bytes").alias("raw_bytes"), ((ratio > 0) & (ratio < 1)).alias("smaller"), (ratio == 1).alias("as_is"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def telemetry_blocks(spark, sf_dir):
     """Counters as JSON, with those of real blocks; without the ratio, which no other engine has."""
-    row = telemetry.telemetry(_batched(spark, sf_dir), shard.block_sizes(_one_shard(spark, sf_dir)))
+    row = telemetry.telemetry(_batched(spark, sf_dir), shard.block_sizes(shard.binary_files(spark, _blocks(spark, sf_dir))))
     return telemetry.as_json(row.select(
         "log_processed_total", "batch_flushed_total", "batch_compressed_total", "batch_written_total", "log_rotation", "compression_failure_total",
         "lost_logs_total", "log_refused_total", "backpressure_count",
     ))
 
 
+def block_statistics(spark, sf_dir):
+    known = shard.statistics(spark, _blocks(spark, sf_dir))
+    batch = F.floor((F.col("min_sequence") - 1) / ROWS).cast("bigint").alias("batch_id")
+    return known.select(batch, "block", "rows", *[f"{end}_{c}" for c in ("sequence", "timestamp_us", "http_code", "duration_ms", "flags") for end in ("min", "max")])
+
+
+def block_skipping(spark, sf_dir):
+    """Decodes only blocks whose ranges may hold rows from 1,001 to 1,800 with errors; the others are not read."""
+    reader = spark.read.format(shard.FORMAT).option("path", _blocks(spark, sf_dir)).option("filters", "sequence>1000,sequence<=1800,http_code>=400")
+    return reader.load().select("sequence", "resource", "endpoint", "http_code")
+
+
+def block_skipping_string(spark, sf_dir):
+    """Decodes only blocks whose filter of resources may hold that of page 7."""
+    wanted = _table(spark, sf_dir, "pages").where("page_id = 7").select(text.normalize_resource(F.col("url"))).first()[0]
+    reader = spark.read.format(shard.FORMAT).option("path", _blocks(spark, sf_dir)).option("resource", wanted)
+    return reader.load().select("sequence", "resource", "endpoint")
+
+
+def stream_blocks(spark, sf_dir):
+    """Blocks read as a stream, a part at a time, and written as blocks by the streaming sink."""
+    out = scratch.folder(spark, "blocks-out")
+    reader = spark.readStream.format(shard.FORMAT).option("path", _blocks(spark, sf_dir)).option("log_path", scratch.folder(spark, "blocks-log"))
+    live = reader.load().drop("file", "block", "pos", "corrupt_reason")
+    writer = live.writeStream.format(shard.FORMAT).option("path", out).option("rows_per_batch", ROWS).option("checkpointLocation", scratch.folder(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format(shard.FORMAT).option("path", out).load().select("sequence", "timestamp_us", "resource", "endpoint", "http_code", "duration_ms", "response_size", "http_verb", "flags")
+
+
 def stream_equals_batch(spark, sf_dir):
     source, path = scratch.folder(spark, "source"), scratch.folder(spark, "stream")
     raw = log_view(spark, sf_dir)
@@ -297,7 +347,8 @@ QUERIES = {
     "compression_ratio": compression_ratio, "entropy_per_row": entropy_per_row, "entropy_mean": entropy_mean, "global_order": global_order,
     "line_load": line_load, "generated": generated, "block_roundtrip": block_roundtrip, "block_files": block_files, "text_export": text_export,
     "rotation": rotation, "rotation_files": rotation_files, "text_export_headers": text_export_headers, "block_sizes": block_sizes,
-    "telemetry_blocks": telemetry_blocks, "truncate_middle_bytes": truncate_middle_bytes, "anon_ip_forms": anon_ip_forms, "stream_equals_batch": stream_equals_batch,
+    "telemetry_blocks": telemetry_blocks, "block_ratio": block_ratio, "block_statistics": block_statistics, "block_skipping": block_skipping,
+    "block_skipping_string": block_skipping_string, "stream_blocks": stream_blocks, "truncate_middle_bytes": truncate_middle_bytes, "anon_ip_forms": anon_ip_forms, "stream_equals_batch": stream_equals_batch,
 }
 
 _VIEW = """with recursive_free as (select 1), log_view as (
@@ -409,11 +460,20 @@ ORACLE = {
     "rotation": _VIEW + "select sequence, resource, endpoint, http_code from stored",
     "rotation_files": "select (i + 1)::int as place, least(15500, n - i * 15500) as rows from (select unnest(range((n + 15499) // 15500)) as i, n from (select 4 * count(*) as n from events))",
     "text_export_headers": _VIEW + f"""select {_LINE} as value from stored union all
-        select chr(10) || '=== BLOCK ' || batch_id || ' === (' || count(*) || ' entries)' from batched group by batch_id union all
-        select chr(10) || '=== BLOCK ' || count(distinct batch_id) || ' FAILED ===' from batched""",
+        select chr(10) || '=== BLOCK ' || batch_id % 4 || ' === (' || count(*) || ' entries)' from batched group by batch_id union all
+        select chr(10) || '=== BLOCK ' || count(distinct batch_id) || ' FAILED ===' from batched group by batch_id // 4""",
     "block_sizes": _VIEW + """, names as (select batch_id, sum(strlen(value) + 6 + (kind = 'resource')::int) as bytes from dict group by batch_id)
-        select b.batch_id as block, (32 * count(*) + 24 + any_value(bytes))::bigint as raw_bytes, true as compressed from batched b join names using (batch_id) group by b.batch_id""",
+        select b.batch_id % 4 as block, (32 * count(*) + 24 + any_value(bytes))::bigint as raw_bytes, true as compressed from batched b join names using (batch_id) group by b.batch_id""",
+    "block_ratio": _VIEW + """, names as (select sum(strlen(value) + 6 + (kind = 'resource')::int) as bytes from dict)
+        select compression, count(distinct batch_id) as blocks, (32 * count(*) + 24 * count(distinct batch_id) + any_value(bytes))::bigint as raw_bytes, compression = 'balanced' as smaller,
+            compression = 'none' as as_is from batched, names, (values ('balanced'), ('none')) c(compression) group by compression""",
     "telemetry_blocks": _VIEW + """select to_json({'log_processed_total': count(*), 'batch_flushed_total': count(distinct batch_id), 'batch_compressed_total': count(distinct batch_id),
-        'batch_written_total': count(distinct batch_id), 'log_rotation': 0, 'compression_failure_total': 0, 'lost_logs_total': 0, 'log_refused_total': 0, 'backpressure_count': 0})::varchar as telemetry from batched""",
+        'batch_written_total': count(distinct batch_id), 'log_rotation': count(distinct batch_id // 4) - 1, 'compression_failure_total': 0, 'lost_logs_total': 0, 'log_refused_total': 0,
+        'backpressure_count': 0})::varchar as telemetry from batched""",
+    "block_statistics": _VIEW + "select batch_id, batch_id % 4 as block, count(*) as rows, "
+    + ", ".join(f"{e}({c})::bigint as {e}_{c}" for c in ("sequence", "timestamp_us", "http_code", "duration_ms", "flags") for e in ("min", "max")) + " from batched group by batch_id",
+    "block_skipping": _VIEW + "select sequence, resource, endpoint, http_code from stored where sequence > 1000 and sequence <= 1800 and http_code >= 400",
+    "block_skipping_string": _VIEW + "select sequence, resource, endpoint from stored where resource = (select regexp_replace(url, '[?].*$', '?', 's') from pages where page_id = 7)",
+    "stream_blocks": _VIEW + "select sequence, timestamp_us, resource, endpoint, http_code, duration_ms, response_size, http_verb, flags from stored",
     "stream_equals_batch": _VIEW + f"select sequence, resource, {_masked(2)} as endpoint, http_code from stored",
 }

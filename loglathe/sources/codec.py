@@ -138,20 +138,50 @@ def blocks_between(file: BinaryIO, start: int, end: int) -> Iterator[tuple[int,
         at, number = at + HEADER.size + stored, number + 1
 
 
+def blocks_ending(file: BinaryIO, start: int, end: int) -> Iterator[tuple[int, bytes, int]]:
+    """Of a seekable file that may still grow: the blocks whose last byte is the ``start + 1``-th to the ``end``-th."""
+    at = number = 0
+    while at + HEADER.size <= end:
+        file.seek(at)
+        head = file.read(HEADER.size)
+        if len(head) < HEADER.size:
+            return
+        stored, raw = HEADER.unpack(head)
+        at += HEADER.size + stored
+        if not stored or not raw or at > end:
+            return
+        if at > start:
+            yield number, file.read(stored), raw
+        number += 1
+
+
+def block_at(file: BinaryIO, start: int) -> tuple[bytes, int]:
+    """(stored payload, raw size) of the block that begins there."""
+    file.seek(start)
+    stored, raw = HEADER.unpack(file.read(HEADER.size))
+    return file.read(stored), raw
+
+
 def encode_batch(batch: pa.RecordBatch, compress: bool = True) -> bytes:
     """One block of a batch with the columns of a normalised event."""
+    return encode_block(batch, compress)[0]
+
+
+def encode_block(batch: pa.RecordBatch, compress: bool = True) -> tuple[bytes, np.ndarray, dict[str, list[str]]]:
+    """The block, its records, and the distinct strings of either dictionary."""
     records = np.zeros(batch.num_rows, RECORD)
     for name in ("sequence", "timestamp_us", "http_code", "duration_ms", "response_size", "http_verb", "flags"):
         if name in batch.schema.names:
             column = batch.column(name).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             records[name] = column.astype(np.uint64).astype(RECORD[name])
-    entries = []
+    entries, strings = [], {}
     for name, idx, null in (("resource", "url_idx", "NULL"), ("endpoint", "ip_idx", "")):
         # ids by first appearance, which is what dictionary encoding gives
         coded = batch.column(name).fill_null(null).dictionary_encode()
         records[idx] = coded.indices.to_numpy(zero_copy_only=False)
-        entries.append([(k, v.encode()) for k, v in enumerate(coded.dictionary.to_pylist())])
-    return frame(payload(records, *entries), compress)
+        strings[name] = coded.dictionary.to_pylist()
+        entries.append([(k, v.encode()) for k, v in enumerate(strings[name])])
+    return frame(payload(records, *entries), compress), records, strings
 
 
 def decode_block(stored: bytes, size: int, columns: set[str] | None = None) -> dict[str, object]:
