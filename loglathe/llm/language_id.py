@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import bound_arrow, empty_text, packed, release, unpacked
+from .tokens import forget
 
 SAMPLE_DOCS, SAMPLE_BYTES = 160, 1000
 CHUNK, LEVEL, MIN_MATCH = 4096, 3, 3
@@ -74,6 +75,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str, .
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
+        forget()
         tools = [
             zstd.ZstdCompressor(
                 dict_data=zstd.ZstdCompressionDict(shared.value[n], dict_type=zstd.DICT_TYPE_RAWCONTENT),

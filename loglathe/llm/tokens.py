@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 #: Most atoms kept (about 170 bytes each); beyond it only those met in more than one batch stay.
 CACHE_ATOMS = 500_000
 #: Bytes of text encoded together.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 4_000_000
 
 
 #: Atoms encoded in one text, and those that may be: no white space but a space in front.
@@ -226,3 +226,8 @@ def encoder(path: str, spaces: bool) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, spaces)
     return _encoders[key]
+
+
+def forget() -> None:
+    """In a Python worker that goes on with other work: gives up the encoders that earlier tasks left."""
+    _encoders.clear()
