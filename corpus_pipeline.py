@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, near-duplicate removal, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all of docs, and returns a DataFrame; all but the last
-return the columns of docs, which the next stage gets as reread from Parquet.  All but the first have the executors
-give back the memory that the stage before needed no longer than it ran.
+return the columns of docs, which the next stage gets as reread from Parquet.  Each has the executors give back
+the memory that what ran before it needed no longer than it ran.
 
 * ``language_id`` learns from the labelled rows of docs that are not held out, and drops what it rejects.
 * ``ngram_join`` keeps the first document of each group of near duplicates (five words, 0.8).
@@ -30,6 +30,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     known = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     rows = docs.select(packed(tuple(docs.columns)).alias("row"), "text")
     judged = language_id.predict(rows, known, carry=("row",))
