@@ -13,6 +13,7 @@ token.  Texts that hold one are encoded whole.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,6 +33,22 @@ BATCH_BYTES = 4_000_000
 FENCED = 2000
 _PLAIN = re.compile(r" ?[^\s\x01\x1c-\x1f\x85]+")
 
+#: What vocabularies do before their model, and the words that are one pre-token then as they stand: letters
+#: that every version of Unicode calls letters, a space in front, and for the second, which folds case, small ones.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORDS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    _BYTES | {"use_regex": False},
+]}
+_FOLDED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_FORMS = (
+    (None, _BYTES, re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")),
+    (_FOLDED, _WORDS, re.compile(" ?([a-z\u00df-\u00f6\u00f8-\u00ff]+)")),
+)
+#: Byte-level vocabularies write each byte as a character: printable ones as they are, the others, in order, from U+0100.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: b for b in _KEPT} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_KEPT)))}
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, bool)
@@ -106,6 +123,10 @@ class Encoder:
         self.spaces = spaces
         self.atoms = _Table()
         self.fence = "\n" if spaces else " \x01 "
+        steps = json.loads(self.tok.to_str())
+        #: The words that the library's model may take without the steps before it, each written byte by byte.
+        self.words = next((w for n, p, w in _FORMS if (steps["normalizer"], steps["pre_tokenizer"]) == (n, p) and steps["post_processor"] is None), None)
+        self.model = self.tok.model
         (self.fence_id,) = self.tok.encode("\n" if spaces else "\x01", add_special_tokens=False).ids
 
     def _each(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +134,24 @@ class Encoder:
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens
 
+    def _learn_words(self, names: list[str]) -> list[str]:
+        """Plain words are encoded one by one, by the model alone; returns the other atoms."""
+        match, tokenize = self.words.fullmatch, self.model.tokenize
+        words, lists, others = [], [], []
+        for a in names:
+            if m := match(a):
+                words.append(a)
+                lists.append([t.id for t in tokenize(m[1].encode().decode("latin-1").translate(_WRITTEN))])
+            else:
+                others.append(a)
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.atoms.add(words, np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens)
+        return others
+
     def _learn(self, names: list[str]) -> None:
         """Atoms are encoded many at a time, with the fence between them, which is one token by itself."""
+        if self.words is not None:
+            names = self._learn_words(names)
         fenced, alone = [], []
         for a in names:
             (fenced if _PLAIN.fullmatch(a) else alone).append(a)
