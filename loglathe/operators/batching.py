@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Rows a range aims at; the most ranges.
 RANGE_ROWS, RANGES = 200_000, 10_000
 
@@ -64,3 +66,13 @@ def assign_batches(df: DataFrame, rows: int, sequence: str = "sequence", produce
     """``batch_id``: every producer's rows in sequence order, ``rows`` to a batch."""
     placed = positions(df, sequence, producer, "_place", range_rows)
     return placed.withColumn("batch_id", F.floor(F.col("_place") / rows).cast("bigint")).drop("_place")
+
+
+def dense_numbers(df: DataFrame, *by: str, name: str = "number") -> DataFrame:
+    """df with numbers from 0 in the order of ``by``, whose values must be unique: ranges, and an offset for each."""
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(dealt, "numbers").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    number = F.col("_base") + F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_at", "_base")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import endpoint as ip
 from ..functions import text
 from ..functions.entropy import shannon_entropy
-from ..operators import batching, dictionary, export, saturation, telemetry
+from ..operators import batching, dictionary, export, merge_order, saturation, sketches, telemetry, throughput
+from ..operators.kept_dictionary import KeptDictionary
 from ..operators.normalize import normalize
 from ..schema import Config
 from ..sources import generator, lines, scratch, shard, sinks
-from ..streaming import ingest
+from ..streaming import ingest, producers
+from ..streaming import telemetry as live_telemetry
 from .log_view import log_view, traffic_report
 
 #: An address, its class, and what levels 1 to 4 leave of it.
@@ -338,6 +340,100 @@ def stream_equals_batch(spark, sf_dir):
     return spark.read.parquet(path).select("sequence", "resource", "endpoint", "http_code")
 
 
+def _kept(spark, sf_dir) -> tuple[KeptDictionary, DataFrame]:
+    """A dictionary after two loads: of two fifths of the events, then of all."""
+    kept, rows = KeptDictionary(spark, scratch.folder(spark, "dictionary")), _stored(spark, sf_dir)
+    kept.insert(rows.where("sequence % 5 < 2"))
+    kept.insert(rows)
+    return kept, rows
+
+
+def dict_kept(spark, sf_dir):
+    return _kept(spark, sf_dir)[0].entries()
+
+
+def dict_kept_encode(spark, sf_dir):
+    kept, rows = _kept(spark, sf_dir)
+    return kept.encode(rows).select("sequence", "url_idx", "ip_idx")
+
+
+def merged_order(spark, sf_dir):
+    return merge_order.merged_order(spark, _shards(spark, sf_dir), 4 * ROWS).select("sequence", "timestamp_us", "resource")
+
+
+def distinct_sketches(spark, sf_dir):
+    """Sketches stored a batch, united over runs of four batches, beside exact counts of these."""
+    stored = scratch.written(sketches.batch_sketches(_batched(spark, sf_dir)), "sketches")
+    run = F.floor(F.col("batch_id") / 4)
+    told = sketches.estimates(sketches.union(stored, run))
+    exact = _batched(spark, sf_dir).groupBy(run.alias("run")).agg(*[F.count_distinct(k).alias(f"{k}_exact") for k in dictionary.KINDS])
+    within = [(F.abs(F.col(f"{k}_count") - F.col(f"{k}_exact")) <= sketches.error() * F.col(f"{k}_exact")).alias(f"{k}_within") for k in dictionary.KINDS]
+    return told.join(exact, "run").select("run", "rows", *[f"{k}_exact" for k in dictionary.KINDS], *within)
+
+
+#: Seconds of a window and of its steps in the queries of throughput; the events are minutes apart.
+WINDOW, STEP = 7200.0, 3600.0
+
+
+def throughput_windows(spark, sf_dir):
+    return throughput.rows_per_window(_stored(spark, sf_dir), WINDOW, STEP).select("start_us", "rows")
+
+
+def throughput_peak(spark, sf_dir):
+    row = throughput.peak(throughput.rows_per_window(_stored(spark, sf_dir), WINDOW, STEP))
+    return row.select(F.round(F.col("peak_per_sec") * WINDOW).cast("long").alias("peak_rows"), "peak_start_us", F.round(F.col("mean_per_sec") * WINDOW, 4).alias("mean_rows"))
+
+
+def _source(spark, rows: DataFrame, parts: int, files: int = 1) -> DataFrame:
+    """A stream of files of rows, dealt by sequence; so many files a micro-batch."""
+    path = scratch.folder(spark, "source")
+    rows.repartition(parts, F.col("sequence")).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def throughput_stream(spark, sf_dir):
+    """The windows as a stream tells them: the last word on each."""
+    path = scratch.folder(spark, "windows")
+    windows = throughput.rows_per_window(_source(spark, _stored(spark, sf_dir), 4), WINDOW, STEP, late="3650 days")
+    put = lambda batch, number: batch.withColumn("told", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    writer = windows.writeStream.outputMode("update").option("checkpointLocation", scratch.folder(spark, "checkpoint")).foreachBatch(put)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("start_us").agg(F.max_by("rows", "told").alias("rows"))
+
+
+def stream_telemetry(spark, sf_dir):
+    """Counters that a listener merged over the micro-batches of a stream."""
+    told = live_telemetry.Telemetry(spark)
+    spark.streams.addListener(told)
+    try:
+        live = live_telemetry.watched(_source(spark, _stored(spark, sf_dir), 5))
+        writer = live.writeStream.format("noop").option("checkpointLocation", scratch.folder(spark, "checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(told)
+    known = told.counts()
+    keys = (*live_telemetry.SUMS, "timestamp_min", "timestamp_max", "lost_logs_total", "log_refused_total")
+    return spark.createDataFrame([tuple(known[k] for k in keys)], ", ".join(f"{k} long" for k in keys))
+
+
+def stream_producers(spark, sf_dir):
+    """Three runs of a stream on one checkpoint: batches of each producer as they close, those left open at the end."""
+    rows = _stored(spark, sf_dir).withColumn("producer", F.pmod("response_size", F.lit(3)))
+    source, out, checkpoint = (scratch.folder(spark, n) for n in ("source", "batches", "checkpoint"))
+    n = rows.count()
+    for k in range(3):
+        rows.where(f"sequence > {n * k // 3} and sequence <= {n * (k + 1) // 3}").write.mode("append").parquet(source)
+        live, idle = spark.readStream.schema(rows.schema).parquet(source), 600_000 if k < 2 else 500
+        query = producers.start(producers.producer_batches(live, "producer", ROWS, idle_ms=idle), out, checkpoint, "0 seconds")
+        if k < 2:
+            producers.caught_up(query)
+            query.stop()
+        else:
+            producers.drain(query, idle)
+    return spark.read.parquet(out).select("sequence", "producer", "batch_id")
+
+
 QUERIES = {
     "flagship": flagship, "strip_params": strip_params, "truncate_middle": truncate_middle, "null_resource": null_resource, "clip_endpoint": clip_endpoint,
     "classify_ip": classify_ip, **{f"anon_ip_l{k}": anon_ip(k) for k in range(1, 5)}, "format_timestamp": format_timestamp, "verb_decode": verb_decode,
@@ -348,7 +444,9 @@ QUERIES = {
     "line_load": line_load, "generated": generated, "block_roundtrip": block_roundtrip, "block_files": block_files, "text_export": text_export,
     "rotation": rotation, "rotation_files": rotation_files, "text_export_headers": text_export_headers, "block_sizes": block_sizes,
     "telemetry_blocks": telemetry_blocks, "block_ratio": block_ratio, "block_statistics": block_statistics, "block_skipping": block_skipping,
-    "block_skipping_string": block_skipping_string, "stream_blocks": stream_blocks, "truncate_middle_bytes": truncate_middle_bytes, "anon_ip_forms": anon_ip_forms, "stream_equals_batch": stream_equals_batch,
+    "block_skipping_string": block_skipping_string, "stream_blocks": stream_blocks, "dict_kept": dict_kept, "dict_kept_encode": dict_kept_encode,
+    "merged_order": merged_order, "distinct_sketches": distinct_sketches, "throughput_windows": throughput_windows, "throughput_peak": throughput_peak,
+    "throughput_stream": throughput_stream, "stream_telemetry": stream_telemetry, "stream_producers": stream_producers, "truncate_middle_bytes": truncate_middle_bytes, "anon_ip_forms": anon_ip_forms, "stream_equals_batch": stream_equals_batch,
 }
 
 _VIEW = """with recursive_free as (select 1), log_view as (
@@ -381,6 +479,14 @@ def _cut(source: str) -> str:
             from cuts c join marked m on m.producer = c.producer and m.place between c.begin and c.begin + {ROWS - 1}) group by producer, batch_id)"""
 
 
+_KEPT = """, kept as (select kind, row_number() over (partition by kind order by not early, value) - 1 as id, value from (
+    select kind, value, bool_or(sequence % 5 < 2) as early from (
+        select 'resource' as kind, resource as value, sequence from stored union all select 'endpoint', endpoint, sequence from stored) group by all))
+"""
+_WINDOWS = """, windows as (select start_us, count(*) as rows from (select unnest([u // 3600000000 * 3600000000, u // 3600000000 * 3600000000 - 3600000000]) as start_us
+    from (select timestamp_us - 11644473600000000 as u from stored)) group by all)
+"""
+
 _VERBS = " ".join(f"when {k} then '{v}'" for k, v in enumerate(text.VERBS))
 
 
@@ -474,6 +580,18 @@ ORACLE = {
     + ", ".join(f"{e}({c})::bigint as {e}_{c}" for c in ("sequence", "timestamp_us", "http_code", "duration_ms", "flags") for e in ("min", "max")) + " from batched group by batch_id",
     "block_skipping": _VIEW + "select sequence, resource, endpoint, http_code from stored where sequence > 1000 and sequence <= 1800 and http_code >= 400",
     "block_skipping_string": _VIEW + "select sequence, resource, endpoint from stored where resource = (select regexp_replace(url, '[?].*$', '?', 's') from pages where page_id = 7)",
+    "dict_kept": _VIEW + _KEPT + "select * from kept",
+    "dict_kept_encode": _VIEW + _KEPT + """select sequence, u.id as url_idx, i.id as ip_idx from stored
+        join kept u on u.kind = 'resource' and u.value = resource join kept i on i.kind = 'endpoint' and i.value = endpoint""",
+    "merged_order": _VIEW + "select sequence, timestamp_us, resource from stored order by sequence",
+    "distinct_sketches": _VIEW + """select batch_id // 4 as run, count(*) as rows, count(distinct resource) as resource_exact, count(distinct endpoint) as endpoint_exact,
+        true as resource_within, true as endpoint_within from batched group by 1""",
+    "throughput_windows": _VIEW + _WINDOWS + "select start_us, rows from windows",
+    "throughput_peak": _VIEW + _WINDOWS + "select max(rows) as peak_rows, min(start_us) filter (rows = most) as peak_start_us, round(avg(rows), 4) as mean_rows from windows, (select max(rows) as most from windows)",
+    "throughput_stream": _VIEW + _WINDOWS + "select start_us, rows from windows",
+    "stream_telemetry": _VIEW + """select count(*) as log_processed_total, count(*) filter (http_code >= 400) as errors_total, sum(strlen(resource) + strlen(endpoint))::bigint as text_bytes_total,
+        sum(duration_ms)::bigint as duration_ms_total, min(timestamp_us) as timestamp_min, max(timestamp_us) as timestamp_max, 0::bigint as lost_logs_total, 0::bigint as log_refused_total from stored""",
+    "stream_producers": _VIEW + """select sequence, response_size % 3 as producer, (row_number() over (partition by response_size % 3 order by sequence) - 1) // 640 as batch_id from stored""",
     "stream_blocks": _VIEW + "select sequence, timestamp_us, resource, endpoint, http_code, duration_ms, response_size, http_verb, flags from stored",
     "stream_equals_batch": _VIEW + f"select sequence, resource, {_masked(2)} as endpoint, http_code from stored",
 }

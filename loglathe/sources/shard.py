@@ -456,7 +456,7 @@ def block_sizes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "file string, block long, raw_bytes long, stored_bytes long")
 
 
-def _lists(spark: SparkSession, path: str) -> DataFrame | None:
+def listed(spark: SparkSession, path: str) -> DataFrame | None:
     """The lines of a folder's lists, read by Spark from any store it reaches; None where there are no lists."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{manifest.FOLDER}")
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
@@ -466,7 +466,7 @@ def _lists(spark: SparkSession, path: str) -> DataFrame | None:
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """The block files of a folder as rows of Spark's ``binaryFile`` source: the listed ones, or all where there are no lists."""
-    lists = _lists(spark, path)
+    lists = listed(spark, path)
     if lists is None:
         return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
     names = [f"{r['folder']}/{r['file']}" for r in lists.select("folder", "file").collect()]  # a row a file, as for any scan
@@ -475,7 +475,7 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 def statistics(spark: SparkSession, path: str) -> DataFrame:
     """The statistics of all blocks of listed files: (file, block, start, rows, ranges, filters)."""
-    names = [f"{r['folder']}/{r['file']}{block_stats.SUFFIX}" for r in _lists(spark, path).where("indexed").select("folder", "file").collect()]
+    names = [f"{r['folder']}/{r['file']}{block_stats.SUFFIX}" for r in listed(spark, path).where("indexed").select("folder", "file").collect()]
     table = spark.read.parquet(*names)
     return table.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.idx$", 1))
 
