@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 from html import unescape
 
 import numpy as np
 
-# a tag with quoted attributes; where a quote stays open, the tag ends at the next '>'
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_SPECIAL = re.compile(r"[>\"']")
+#: Characters of a tag looked at by one pattern; where one is longer, that page's tags are followed from quote to quote.
+TAG_CHARS = 200
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _TARGET = re.compile(r"data-y=(\d)")
 
 #: Element names by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-HIDDEN = RAW | {"head", "noscript", "template", "select", "button", "svg", "math", "object", "canvas", "audio", "video", "map", "datalist"}
+HIDDEN = RAW | {"head", "noscript", "template", "select", "button", "svg", "canvas", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
     "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
-    "tt", "u", "var", "wbr", "img", "br", "input",
+    "tt", "u", "var", "wbr", "img", "br", "input", "map", "object", "audio", "video", "picture",
+    "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose",
+    "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mtd", "semantics", "annotation",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = {
@@ -38,6 +40,8 @@ ENDS = {
     "tr": ({"tr"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
+#: Blocks whose end tags end a cell.
+CELL_ENDS = {"tr", "table", "tbody", "thead", "body", "html"}
 TAG_GROUPS = (
     {"article", "main"}, {"section"}, {"div", "td", "body"}, {"p", "blockquote", "pre"}, HEADINGS, {"nav", "menu"}, {"header"},
     {"footer", "address"}, {"aside", "dialog"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"form", "fieldset", "label", "input", "legend"},
@@ -59,6 +63,71 @@ _TOKEN_GROUP = {t: i for i, g in enumerate(TOKEN_GROUPS) for t in g}
 NO_GROUP = len(TAG_GROUPS)
 
 
+class Markup:
+    """Finds the tags of a page, each in time that does not grow with what follows it.
+
+    A tag ends at the first ``>`` outside quotes or, where a quote stays open, at the first of all; without one it is text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.end, self.last = html, len(html), html.rfind(">")
+        self.ends: dict[int, int] = {}
+        self.places: dict[str, list[int]] | None = None
+
+    def _after(self, char: str, at: int) -> int:
+        """The first place of a quote, or of any special character, from ``at`` on; -1 if there is none."""
+        if self.places is None:
+            found = [(m.start(), m[0]) for m in _SPECIAL.finditer(self.html)]
+            self.places = {"": [p for p, _ in found]} | {c: [p for p, x in found if x == c] for c in "'\""}
+        places = self.places[char]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def _quoted_end(self, at: int) -> int:
+        """The ``>`` outside quotes, or -1; each place from which it was looked for is remembered."""
+        passed = []
+        while at not in self.ends:
+            passed.append(at)
+            special = self._after("", at)
+            if special < 0 or self.html[special] == ">":
+                self.ends[at] = special
+                break
+            closing = self._after(self.html[special], special + 1)
+            if closing < 0:
+                self.ends[at] = -1
+                break
+            at = closing + 1
+        found = self.ends[at]
+        for p in passed:
+            self.ends[p] = found
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, behind, name, whether it ends an element, attributes) of the next markup; the name of a comment is empty."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            sign = html[at + 1 : at + 2]
+            if sign in ("!", "?") and sign:
+                if html.startswith("<!--", at):
+                    close = html.find("-->", at + 4)
+                    return at, self.end if close < 0 else close + 3, "", False, ""
+                close = html.find(">", at + 2) if at < self.last else -1
+                return at, self.end if close < 0 else close + 1, "", False, ""
+            closing = sign == "/"
+            if at < self.last and (m := _NAME.match(html, at + 1 + closing)):
+                behind = m.end()
+                if closing:
+                    gt = html.find(">", behind)
+                elif self.places is None and (got := _ATTRS.match(html, behind, min(self.end, behind + TAG_CHARS))):
+                    gt = got.end() - 1
+                elif (gt := self._quoted_end(behind)) < 0:
+                    gt = html.find(">", behind)
+                if gt >= 0:
+                    return at, gt + 1, m[0].lower(), closing, html[behind:gt]
+            at += 1
+        return None
+
+
 class Pages:
     """Elements of many pages; element 0 of each page is a root that holds the whole page."""
 
@@ -101,7 +170,9 @@ class Pages:
         pieces: list[tuple[int, int, str]] = []
         self.pieces.append(pieces)
         names, nodes = [""], [root]
-        open_names: Counter[str] = Counter()  # so that no stack is searched in vain
+        # places in the stack of every open name, and of all that are not inline, so that no stack is searched
+        places: dict[str, list[int]] = defaultdict(list)
+        solid = [0]
         hidden = block = at = 0  # hidden: the depth of the stack from which nothing is seen
         end = len(html)
 
@@ -112,71 +183,68 @@ class Pages:
         def pop(to: int) -> None:
             nonlocal hidden
             for gone in names[to:]:
-                open_names[gone] -= 1
+                places[gone].pop()
             del names[to:], nodes[to:]
+            while solid[-1] >= to:
+                solid.pop()
             if hidden and to <= hidden:
                 hidden = 0
 
+        def push(name: str, node: int) -> None:
+            places[name].append(len(names))
+            if name not in INLINE:
+                solid.append(len(names))
+            names.append(name)
+            nodes.append(node)
+
+        def innermost(of) -> int:
+            return max((places[name][-1] for name in of if places[name]), default=0)
+
+        markup = Markup(html)
         while at < end:
-            m = _MARKUP.search(html, at)
+            m = markup.next(at)
             if m is None:
                 text(end)
                 break
-            text(m.start())
-            at = m.end()
-            if m[1]:
-                name = m[1].lower()
+            start, behind, name, closing, attrs = m
+            text(start)
+            at = behind
+            if not name:
+                continue
+            if closing:
                 if name not in INLINE:
                     block += 1
-                for k in range(len(names) - 1 if open_names[name] else 0, 0, -1):
-                    if names[k] == name:
-                        pop(k)
-                        break
-                    # an inline end tag does not end blocks, nor a block's end tag a cell
-                    if name in INLINE and names[k] not in INLINE or names[k] in ("td", "th") and name not in ("tr", "table", "tbody", "thead", "body", "html"):
-                        break
-                continue
-            name = (m[2] or m[4] or "").lower()
-            if not name:
+                # an inline end tag does not end blocks, nor a block's end tag a cell
+                before = solid[-1] if name in INLINE else 0 if name in CELL_ENDS else innermost(("td", "th"))
+                k = innermost((name,))
+                if k and k >= before:
+                    pop(k)
                 continue
             if name not in INLINE:
                 block += 1
             elif name == "br" and not hidden:
                 pieces.append((nodes[-1], block, " "))
-            if name in CLOSES_P and open_names["p"]:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] == "p":
-                        pop(k)
-                        break
-                    if names[k] not in INLINE:
-                        break
+            if name in CLOSES_P and names[solid[-1]] == "p":
+                pop(solid[-1])
             if name in ENDS:
                 ended, stops = ENDS[name]
-                for k in range(len(names) - 1 if any(open_names[e] for e in ended) else 0, 0, -1):
-                    if names[k] in ended:
-                        pop(k)
-                        break
-                    if names[k] in stops:
-                        break
+                k = innermost(ended)
+                if k > innermost(stops):
+                    pop(k)
             if name in VOID:
                 if name == "input":
-                    self._add(page, nodes[-1], len(nodes), name, m[3] or "")
+                    self._add(page, nodes[-1], len(nodes), name, attrs)
                 continue
             if name in RAW:
                 close = re.compile(f"</{name}", re.I).search(html, at)
                 at = close.start() if close else end
-                names.append(name)
-                open_names[name] += 1
-                nodes.append(nodes[-1])
+                push(name, nodes[-1])
                 hidden = hidden or len(names) - 1
                 continue
-            attrs = m[3] if m[2] else m[5]
             if attrs.endswith("/") and name in ("svg", "path"):
                 continue
             node = self._add(page, nodes[-1], self.depth[nodes[-1]] + 1, name, attrs)
-            names.append(name)
-            open_names[name] += 1
-            nodes.append(node)
+            push(name, node)
             if name in HIDDEN and not hidden:
                 hidden = len(names) - 1
 
@@ -249,6 +317,6 @@ class Pages:
                         blocks.append([])
                         last = block
                     blocks[-1].append(raw)
-            lines = (" ".join(unescape("".join(b)).split()) for b in blocks)
+            lines = (" ".join("".join(map(unescape, b)).split()) for b in blocks)
             out.append("\n".join(x for x in lines if x))
         return out

@@ -1,6 +1,7 @@
 """HTML reading, the classifier on unseen made-up pages, decoding, and edge cases."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -55,6 +56,38 @@ def test_deep_pages_and_bare_text(trees):
     assert len(pages.page) == 60_001
 
 
+HOSTILE = {
+    "no tag ends": "<a" * 500_000, "no end tag ends": "</a" * 330_000, "attributes": "<a x" * 250_000, "open quotes": '<a "' * 250_000, "one end": "<a '" * 250_000 + ">",
+    "ends in quotes": '<a ">"' * 166_000 + "'", "two quotes": "<a b='>' " * 110_000 + '"', "signs": "<" * 1_000_000, "comments": "<!--" * 250_000,
+    "a cell between": "<p><td>" + "<b>" * 1000 + "<hr>" * 200_000, "end tags": "<i><td>" + "<b>" * 1000 + "</i>" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_markup_takes_time_in_proportion(name):
+    began = time.process_time()
+    Pages().parse(HOSTILE[name])
+    assert time.process_time() - began < 4  # alone under 2 s each
+
+
+def test_tags_of_any_length_and_quotes(trees):
+    """A long tag, and those behind it, which are read from quote to quote, are the tags they are without it."""
+    rest = PAGE + """<p title='a > b' class="x>y">Seen.</p><p title="open>Also seen.</p><p>And this, it's "quoted", goes on.</p>"""
+    short, long = Pages(), Pages()
+    short.parse('<div id="x">' + rest)
+    long.parse('<div id="x" data-z="' + "z" * 5000 + '">' + rest)
+    for k in ("parent", "group", "marks", "pieces"):
+        assert getattr(short, k) == getattr(long, k)
+
+
+def test_what_stands_in_a_line_stays(trees):
+    """Formulas, maps and objects are part of their block; a reference cut by markup is none."""
+    inside = "<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as is well known to all, and <map name=m>the map</map> or "
+    inside += "<object>the object</object> with <video>no video</video> shows &am<b>p;</b> it.</p>"
+    page = PAGE.replace("<article>", "<article>" + inside)
+    assert "Energy is E=mc2 as is well known to all, and the map or the object with no video shows &amp; it.\n" in html_text.extract([page], trees)[0]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_decoding_finds_the_best_labelling(seed):
     rng = np.random.default_rng(seed)
