@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions against a rule table, by hash prefix, then full digest.
 
-Each url is split into a host and a path.  Every dot-aligned suffix of the host, combined with the
-path prefixes of the lengths that occur among the rules, is one *expression* (``host`` + ``path``
+Each url is split into a host and a path.  Every suffix of the host of as many labels as some rule has, combined with
+the path prefixes of the lengths that occur among the rules, is one *expression* (``host`` + ``path``
 prefix).  Expressions meet the rules in an equi-join on the first 32 bits of their SHA-256; the whole
 digests are then compared, so a shared prefix never decides.  Of the rules that fit, the longest
 (host and path together) wins; on equal length the longer host, then ``block``.
@@ -42,11 +42,10 @@ def _prefix(digest: Column) -> Column:
     return F.substring(digest, 1, 4)
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` -> ``[a.b.c, b.c, c]``, for any number of labels."""
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """The last n labels of a host, for each n of ``labels`` that it has: of ``a.b.c`` and [1, 3] ``c`` and ``a.b.c``."""
+    n = F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    return F.filter(F.array(*[F.when(n >= k, F.substring_index(host, ".", -k)) for k in labels]).cast("array<string>"), F.isnotnull)
 
 
 def prepare(rules: DataFrame) -> DataFrame:
@@ -60,6 +59,7 @@ def prepare(rules: DataFrame) -> DataFrame:
             F.concat("h", "p").alias("rule_text"),
             F.char_length("h").alias("host_len"),
             F.char_length("p").alias("path_len"),
+            F.size(F.split("h", r"\.")).alias("labels"),
             "rule_verdict",
         )
         .withColumn("hash_prefix", _prefix(F.col("digest")))
@@ -69,9 +69,9 @@ def prepare(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict of each row's url."""
     ruled = prepare(rules)
-    stats = ruled.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path_len")).alias("lens")).first()
+    stats = ruled.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path_len")).alias("lens"), F.array_sort(F.collect_set("labels")).alias("labels")).first()
     small = stats["n"] <= BROADCAST_ROWS
-    lens = stats["lens"]  # distinct lengths only: at most as many as the longest rule path has characters
+    lens = stats["lens"]  # distinct lengths only: at most as many as the longest rule path has characters, and so for labels
 
     hold = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(
@@ -85,7 +85,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         lambda n: F.substring(F.col("_path"), F.lit(1), n),
     )
     pairs = F.flatten(
-        F.transform(host_suffixes(F.col("_host")), lambda h: F.transform(prefixes, lambda p: _digest(h, p)))
+        F.transform(host_suffixes(F.col("_host"), stats["labels"]), lambda h: F.transform(prefixes, lambda p: _digest(h, p)))
     )
     expanded = rows.withColumn("_digest", F.explode_outer(pairs)).withColumn("hash_prefix", _prefix(F.col("_digest")))
     if small:

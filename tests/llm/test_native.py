@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -50,6 +51,17 @@ def test_urls(spark, monkeypatch):
     assert {r["verdict"] for r in url_filter.judge(df, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_a_host_of_very_many_labels(spark):
+    """Only suffixes of as many labels as a rule has are made: the work is in proportion to the host."""
+    host = "a." * 50_000 + "b.c"
+    df = spark.createDataFrame([(k, f"http://{host}/x{k}") for k in range(20)], "page_id long, url string")
+    rules = spark.createDataFrame([("b.c", "/x1", "block"), ("c", "/", "allow"), ("a." * 5 + "b.c", "/x", "block")], "host string, path string, verdict string")
+    began = time.monotonic()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
+    assert time.monotonic() - began < 30  # every suffix would be gigabytes of text
+    assert got == {k: ("a." * 5 + "b.c/x", "block") for k in range(20)}
+
+
 # fingerprints
 
 def canonical(t):
