@@ -62,6 +62,8 @@ def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
     held_before = None
     while level < top:
         middle, capped = (level + top) / 2, F.col("most") <= F.lit(level) * F.col("weight")
+        if not level < middle < top:  # nothing lies between any more
+            break
         got = rows.where("most > 0").agg(
             F.sum(F.when(~capped, F.col("weight"))).alias("w"), F.sum(F.when(capped, F.col("most"))).alias("held"), F.sum(F.when(capped, F.lit(1)).otherwise(0)).alias("n"),
             F.sum(F.least(F.col("most"), F.lit(middle) * F.col("weight"))).alias("at_middle"),
@@ -157,7 +159,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", share: floa
     """Sizes, targets and copies of each document.
 
     Returns (plan, sources); plan has the columns ``carry``, ``source``, ``size``, ``source_size``, ``target``,
-    ``copies`` and ``taken`` = copies * size.  Texts are read once, for their sizes, and never shuffled.
+    ``copies`` and ``taken`` = copies * size.  Texts are read once, for their sizes; what ``carry`` names is shuffled once.
     """
     carry = tuple(c for c in carry if c not in ("size", "source_size", "target", "copies", "taken"))
     sized = docs.select(
