@@ -49,6 +49,8 @@ _FORMS = (
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _WRITTEN = {b: b for b in _KEPT} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_KEPT)))}
 
+_SPACE_WRITTEN = chr(_WRITTEN[32])
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, bool)
@@ -141,7 +143,9 @@ class Encoder:
         for a in names:
             if m := match(a):
                 words.append(a)
-                lists.append([t.id for t in tokenize(m[1].encode().decode("latin-1").translate(_WRITTEN))])
+                word = m[1]
+                written = word.replace(" ", _SPACE_WRITTEN) if word.isascii() else word.encode().decode("latin-1").translate(_WRITTEN)
+                lists.append([t.id for t in tokenize(written)])
             else:
                 others.append(a)
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
