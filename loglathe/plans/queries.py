@@ -95,9 +95,10 @@ def anon_ip(level):
 
 
 def anon_ip_forms(spark, sf_dir):
-    """Every form of address that the masking rules tell apart, at every level."""
-    rows = spark.createDataFrame([(k, f[0]) for k, f in enumerate(FORMS)], "form int, address string")
-    return rows.select("form", ip.classify_ip(F.col("address")).alias("class"), *[ip.anon_ip(F.col("address"), k).alias(f"level_{k}") for k in range(1, 5)])
+    """Every form of address that the masking rules tell apart, one an event in turn, at every level."""
+    form = F.pmod("event_id", F.lit(len(FORMS))).cast("int")
+    rows = _table(spark, sf_dir, "events").select("event_id", form.alias("form"), F.get(F.array(*[F.lit(f[0]) for f in FORMS]), form).alias("address"))
+    return rows.select("event_id", "form", ip.classify_ip(F.col("address")).alias("class"), *[ip.anon_ip(F.col("address"), k).alias(f"level_{k}") for k in range(1, 5)])
 
 
 def format_timestamp(spark, sf_dir):
@@ -211,7 +212,8 @@ def line_load(spark, sf_dir):
 
 
 def generated(spark, sf_dir):
-    return normalize(generator.generate(spark, 20_000), Config(level=2))
+    """A synthetic event for every event of the table."""
+    return normalize(generator.events(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))), Config(level=2))
 
 
 def _shards(spark, sf_dir) -> str:
@@ -309,8 +311,8 @@ def block_statistics(spark, sf_dir):
 
 
 def block_skipping(spark, sf_dir):
-    """Decodes only blocks whose ranges may hold rows from 1,001 to 1,800 with errors; the others are not read."""
-    reader = spark.read.format(shard.FORMAT).option("path", _blocks(spark, sf_dir)).option("filters", "sequence>1000,sequence<=1800,http_code>=400")
+    """Decodes only blocks whose ranges may hold rows from 201 to 900 with errors; the others are not read."""
+    reader = spark.read.format(shard.FORMAT).option("path", _blocks(spark, sf_dir)).option("filters", "sequence>200,sequence<=900,http_code>=400")
     return reader.load().select("sequence", "resource", "endpoint", "http_code")
 
 
@@ -521,7 +523,7 @@ ORACLE = {
     "clip_endpoint": "select event_id, coalesce(left(case when event_id % 4 > 0 then repeat(event_type, event_id % 30) end, 79), '') as endpoint from events",
     "classify_ip": _VIEW + "select sequence, case when endpoint like '2001%' then 1 when endpoint like 'host%' then -1 else 0 end as class from log_view",
     **{f"anon_ip_l{k}": _VIEW + f"select sequence, {_masked(k)} as endpoint from log_view" for k in range(1, 5)},
-    "anon_ip_forms": "select * from (values " + ", ".join(f"({k}, {f[1]}, " + ", ".join(f"'{x}'" for x in f[2:]) + ")" for k, f in enumerate(FORMS)) + ") t(form, class, level_1, level_2, level_3, level_4)",
+    "anon_ip_forms": "select event_id, t.* from (values " + ", ".join(f"({k}, {f[1]}, " + ", ".join(f"'{x}'" for x in f[2:]) + ")" for k, f in enumerate(FORMS)) + ") t(form, class, level_1, level_2, level_3, level_4) join events on event_id % {} = form".format(len(FORMS)),
     "format_timestamp": "select event_id + 1 as sequence, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as ts from events",
     "verb_decode": f"select event_id, case event_id % 45 {_VERBS} else (event_id % 45)::varchar end as verb from events",
     "narrow_status": "select event_id, ((event_id * 37 + 65000) % 65536)::int as http_code from events",
@@ -578,7 +580,7 @@ ORACLE = {
         'backpressure_count': 0})::varchar as telemetry from batched""",
     "block_statistics": _VIEW + "select batch_id, batch_id % 4 as block, count(*) as rows, "
     + ", ".join(f"{e}({c})::bigint as {e}_{c}" for c in ("sequence", "timestamp_us", "http_code", "duration_ms", "flags") for e in ("min", "max")) + " from batched group by batch_id",
-    "block_skipping": _VIEW + "select sequence, resource, endpoint, http_code from stored where sequence > 1000 and sequence <= 1800 and http_code >= 400",
+    "block_skipping": _VIEW + "select sequence, resource, endpoint, http_code from stored where sequence > 200 and sequence <= 900 and http_code >= 400",
     "block_skipping_string": _VIEW + "select sequence, resource, endpoint from stored where resource = (select regexp_replace(url, '[?].*$', '?', 's') from pages where page_id = 7)",
     "dict_kept": _VIEW + _KEPT + "select * from kept",
     "dict_kept_encode": _VIEW + _KEPT + """select sequence, u.id as url_idx, i.id as ip_idx from stored
