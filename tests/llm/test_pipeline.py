@@ -68,14 +68,20 @@ def test_stages_give_memory_back(spark):
         return sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         before = whole_collections()
         stage(spark, docs, FOLDER)
         assert whole_collections() > before
     held = [spark.sparkContext._gateway.new_array(jvm.long, 16 << 20) for _ in range(8)]  # 1 GB
-    grown = heap.totalMemory()
+    grown, used = heap.totalMemory(), heap.totalMemory() - heap.freeMemory()
     for x in held:
         spark.sparkContext._gateway.detach(x)
     held.clear()
-    settle(spark)
-    assert heap.totalMemory() <= grown - (512 << 20)
+    for _ in range(5):  # a collection beside one that runs already may find the arrays still held
+        settle(spark)
+        left = heap.totalMemory() - heap.freeMemory()
+        if left <= used - (512 << 20):
+            break
+    assert left <= used - (512 << 20)
+    # the collector keeps room of at most seven tenths of the heap, so what a long session holds counts
+    assert heap.totalMemory() <= max(grown - (512 << 20), left / 0.3 + (64 << 20))
