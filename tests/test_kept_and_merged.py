@@ -114,6 +114,26 @@ def test_blocks_merge_without_a_sort_of_events(spark, tmp_path, rows):
     assert "Sort" not in before and "bloom" not in after  # what is sorted is the list of blocks
 
 
+def test_blocks_that_reach_far_are_read_once(spark, tmp_path):
+    """Blocks in order beside blocks whose rows lie anywhere: no block is read in many ranges, and equal sequences keep their order."""
+    shard.register(spark)
+    events, path = stored(spark, 3000), f"file://{tmp_path}/blocks"
+    for part in (events.repartition(1).sortWithinPartitions("sequence"), events.where("sequence % 3 = 0").repartition(3), events.where("sequence <= 40 or sequence > 2960").repartition(1)):
+        part.write.format(shard.FORMAT).options(path=path, rows_per_batch="40", flush_per_file="3").mode("append").save()
+    rows = [(r["sequence"], r["file"], r["block"], r["pos"]) for r in spark.read.format(shard.FORMAT).option("path", path).load().collect()]
+    low = {}
+    for sequence, file, block, _ in rows:
+        low[file, block] = min(sequence, low.get((file, block), sequence))
+    out = merge_order.merged_order(spark, path, 100)
+    got = [(r["sequence"], r["file"], r["block"], r["pos"]) for r in out.collect()]
+    assert got == sorted(rows, key=lambda r: (r[0], low[r[1:3]], *r[1:])) and len(got) == 4080
+    merging = out._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in merging.nodeName():
+        merging = merging.children().head()
+    into = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, merging.children().head())
+    assert 75 <= into.filter("start is not null").count() <= 2 * len(low)
+
+
 # sketches
 
 def test_sketches_merge(spark):
