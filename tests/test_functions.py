@@ -144,3 +144,11 @@ def test_masking_keeps_lengths(spark, values):
         for before, after in zip(values, _one(spark, values, lambda c, k=level: endpoint.anon_ip(c, k)), strict=True):
             assert len(after) == len(before)
             assert all(a in (b, "x") for a, b in zip(after, before, strict=True))
+
+
+def test_masks_take_each_step_once(spark):
+    """Steps that are written out at every place of use multiply, and code of that size runs uncompiled."""
+    rows = spark.range(1).select(F.col("id").cast("string").alias("s"))
+    for level in range(1, 5):
+        plan = rows.select(endpoint.anon_ip(F.col("s"), level).alias("m"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("rlike") == 1 and len(plan) < 8_000
