@@ -19,6 +19,7 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from pyspark.sql.types import LongType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that leave at a time, in whole batches.
+LEAVE_ROWS = 50_000
 
 
 class ProducerBatches(StatefulProcessor):
@@ -38,8 +41,11 @@ class ProducerBatches(StatefulProcessor):
         self.closed = handle.getValueState("closed", "batches long, held long", self.forget)
         self.open = handle.getListState("open", self.schema, self.forget)
 
-    def _leave(self, part: pd.DataFrame, number: int) -> pd.DataFrame:
-        return part[self.schema.names].assign(batch=number)
+    def _leave(self, part: pd.DataFrame, first: int) -> Iterator[pd.DataFrame]:
+        """Rows with the numbers of their batches, many batches at a time: each frame is handed over by itself."""
+        for at in range(0, len(part), step := max(1, LEAVE_ROWS // self.rows) * self.rows):
+            some = part.iloc[at : at + step]
+            yield some[self.schema.names].assign(batch=first + np.arange(at, at + len(some)) // self.rows)
 
     def _held(self) -> pd.DataFrame:
         return pd.DataFrame(list(self.open.get()), columns=self.schema.names)
@@ -54,8 +60,7 @@ class ProducerBatches(StatefulProcessor):
             whole = pd.concat([self._held(), new]) if held else new
             self.open.clear()
             full = len(whole) // self.rows
-            for k in range(full):
-                yield self._leave(whole.iloc[k * self.rows : (k + 1) * self.rows], batches + k)
+            yield from self._leave(whole.iloc[: full * self.rows], batches)
             rest = whole.iloc[full * self.rows :]
             self._add(rest)
             batches, held = batches + full, len(rest)
@@ -72,7 +77,7 @@ class ProducerBatches(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batches, held = self.closed.get() if self.closed.exists() else (0, 0)
         if held:
-            yield self._leave(self._held(), batches)
+            yield from self._leave(self._held(), batches)
             self.open.clear()
             self.closed.update((batches + 1, 0))
 

@@ -3,9 +3,12 @@
 import json
 import os
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from loglathe.operators import batching, kept_dictionary, merge_order, sketches, throughput
 from loglathe.schema import EPOCH_1601_US
@@ -213,3 +216,28 @@ def test_open_batches_outlive_restarts_and_leave_when_silent(spark, tmp_path):
     for p in (None, "p1", "p2"):
         mine = sorted(r["sequence"] for r in got if r["producer"] == p)
         assert {r["sequence"]: r["batch_id"] for r in got if r["producer"] == p} == {s: i // 7 for i, s in enumerate(mine)}
+
+
+def test_many_batches_leave_at_a_time(monkeypatch):
+    """What is handed over grows with the rows, not with the batches; numbers go on from the open batch and over a cut."""
+    monkeypatch.setattr(producers, "LEAVE_ROWS", 3000, raising=False)
+
+    class Kept:
+        def __init__(self, *_):
+            self.value, self.rows = None, []
+
+        exists, get = lambda self: self.value is not None, lambda self: self.value or iter(self.rows)
+        update, appendList, clear = lambda self, v: setattr(self, "value", v), lambda self, more: self.rows.extend(more), lambda self: self.rows.clear()
+
+    handle = SimpleNamespace(getValueState=Kept, getListState=Kept, listTimers=lambda: iter(()), registerTimer=lambda at: None)
+    schema, now = StructType([StructField("c0", LongType()), StructField("c1", StringType())]), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    one = producers.ProducerBatches(schema, 7, "c0", 1000, None)
+    one.init(handle)
+    frames = []
+    for low, high in ((0, 5), (5, 10_004), (10_004, 10_011)):
+        part = pd.DataFrame({"c0": range(low, high), "c1": "x"})
+        frames.append(list(one.handleInputRows(("p",), iter([part[::-2], part[-2::-2]]), now)))
+    frames.append(list(one.handleExpiredTimer(("p",), now, None)))
+    assert [len(f) for f in frames] == [0, 4, 1, 1]
+    whole = pd.concat([x for f in frames for x in f])
+    assert whole["c0"].tolist() == list(range(10_011)) and whole["batch"].tolist() == [k // 7 for k in range(10_011)]
